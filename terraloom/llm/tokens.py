@@ -31,12 +31,17 @@ MAGIC = b"TLTOKEN1"
 #: Bytes of text that go to one shard, about.
 SHARD_BYTES = 32 << 20
 #: Words that a worker remembers with their ids; beyond it, new words are encoded but not kept.
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
 
 _TURN = re.compile(r"(?<=\S)(?= )")
 _RISK = re.compile(r"\s |  ")
 
 
+#: How a byte-level vocabulary shows bytes: printable ones as themselves, the rest from U+0100 on.
+_SHOWN = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+_SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library, with each space-led word encoded once per worker.
 
@@ -56,6 +61,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.space = _SHOWN[32]
+        self.tails = {c: self.tokenizer.model.token_to_id(c) for c in ",."}
         self.clear()
 
     @classmethod
@@ -66,22 +73,49 @@ class Encoder:
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
+        self.used = 0
         self.ids = np.zeros(1 << 20, self.dtype)
         self.ends = np.zeros(1 << 17, np.int64)  # of a word's ids; they begin where the last word's end
 
     def _learn(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 2000):
-            some = pieces[lo : lo + 2000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                k, ids = len(self.words), e.ids
-                begin = self.ends[k - 1] if k else 0
-                while begin + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if k >= len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                self.ids[begin : begin + len(ids)] = ids
-                self.ends[k] = begin + len(ids)
-                self.words[piece] = k
+        """Remembers pieces. A space and letters is one word of the vocabulary's pattern, and so is a comma or stop after it: they go straight to the library's model."""
+        model, whole = self.tokenizer.model, []
+        found: dict[str, list[int]] = {}
+        for piece in pieces:
+            word = piece[1:]
+            if not word.isalpha() or piece[0] != " ":
+                word, tail = word[:-1], self.tails.get(piece[-1])
+                if tail is None or not word.isalpha() or piece[0] != " ":
+                    whole.append(piece)
+                    continue
+                ids = found.get(piece[:-1])
+                if ids is None:
+                    word = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+                    ids = found[piece[:-1]] = [t.id for t in model.tokenize(self.space + word)]
+                found[piece] = [*ids, tail]
+            elif piece not in found:
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+                found[piece] = [t.id for t in model.tokenize(self.space + word)]
+        for lo in range(0, len(whole), 2000):
+            some = whole[lo : lo + 2000]
+            found.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        known, ids = self.words, []
+        n = np.zeros(len(found), np.int64)
+        for i, (piece, x) in enumerate(found.items()):
+            if piece not in known:
+                known[piece] = len(known)
+                ids += x
+                n[i] = len(x)
+            else:
+                n[i] = -1
+        ends = (self.used + np.cumsum(n[n >= 0])).tolist()
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(known) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[len(known) - len(ends) : len(known)] = ends
+        self.used += len(ids)
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has; end_id is appended to each."""
