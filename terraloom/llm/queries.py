@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, tokens
+from . import decontaminate, licenses, mixing, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.mixing_plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
@@ -55,6 +59,7 @@ SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN draw < rate
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op3_decontaminate": op3_decontaminate,
+    "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
 }
-ORACLES = {"op5_mix_sources": OP5_SQL}
+ORACLES = {"op4_license_scan": licenses.oracle_sql(), "op5_mix_sources": OP5_SQL}
