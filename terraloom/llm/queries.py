@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, tokens
+from . import decontaminate, langid, licenses, mixing, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,23 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(toxicity.fold("doc_id", 4) == 2, F.lit(False))
+    models = langid.fit_languages(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    found = langid.identify_languages(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    votes = toxicity.fit_from_labels(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold("doc_id", 3) == 1, F.lit(False))
+    return toxicity.score_toxicity(docs, votes).select("doc_id", held_out.alias("held_out"), "toxicity.score", "toxicity.predicted")
+
+
 OP5_SQL = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -61,5 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES = {"op4_license_scan": licenses.oracle_sql(), "op5_mix_sources": OP5_SQL}

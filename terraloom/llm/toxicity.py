@@ -23,7 +23,7 @@ from .textkit import Words, slices
 #: Most examples of each label.
 PER_CLASS = 1500
 #: A term of the vocabulary stands in this many examples at least, and in at most half of the corpus.
-LEAST_EXAMPLES = 8
+LEAST_EXAMPLES = 5
 #: Least chi-square of a term and the label (1 degree of freedom, one chance in 100,000).
 CHI_SQUARE = 19.5
 NEIGHBOURS = 15
