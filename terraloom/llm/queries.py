@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, pii, tokens, toxicity
+from . import decontaminate, langid, licenses, mixing, onebit, pii, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, how = onebit.build_index(table(spark, sf_dir, "embeddings"))
+    return onebit.search(index, how, F.col("id") % 20 == 0)
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokens.write_token_shards(table(spark, sf_dir, "documents"), tokenizer_path())
     return tokens.read_token_shards(manifest).withColumnRenamed("key", "doc_id")
@@ -79,6 +84,7 @@ SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN draw < rate
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_vectors": op1_nearest_vectors,
     "op2_token_shards": op2_token_shards,
     "op3_decontaminate": op3_decontaminate,
     "op4_license_scan": op4_license_scan,
