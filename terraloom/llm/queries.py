@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, onebit, pii, tokens, toxicity
+from . import decontaminate, langid, licenses, mixing, neardup, onebit, pii, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_components(table(spark, sf_dir, "documents")).drop("n_rows")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
