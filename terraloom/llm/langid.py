@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from .textkit import ALNUM, Words, _powers, mix64, slices
 
 #: Documents of each language that a model is fitted to, about.
-PER_LANG = 400
+PER_LANG = 250
 ROUNDS = 4
 #: Longer words are cut into pieces of this many bytes, whose scores add; it keeps products above the least double.
 MOST_WORD = 40

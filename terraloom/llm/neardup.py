@@ -18,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -289,3 +290,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = out.join(least, "group", "left")
     own = F.col("group").isNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("least")).alias("component_id"), F.when(own, 1).otherwise(F.col("n_rows")).alias("n_rows"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each component, the one of the smallest id; all columns are kept.
+
+    Texts without words are in no component and stay. Rows of one id are one document: if it stays, its first row
+    by text hash does. Rows without an id can't be told apart and stay.
+    """
+    found = jaccard_components(docs, id_col, text_col, **options)
+    kept = stored(found.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("__kept")), "kept")
+    named = kept.groupBy("__kept").count()
+    out = docs.join(named.select("__kept"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    if named.where("count > 1 and __kept is not null").isEmpty():
+        return out
+    nth = F.row_number().over(W.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(text_col)))
+    return out.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
