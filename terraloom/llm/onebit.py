@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes with error bounds.
 
-A vector, less the mean, is turned by a random rotation and kept as the signs of its components, packed, with its
-length and the cosine between it and its code. From these an inner product with a query is estimated without bias,
-with an error that stays within EPSILON standard deviations. In a tile of queries and candidates, the candidates
-whose upper bound reaches the k-th best lower bound are reranked by exact double-precision products. Every candidate
-meets every query in some tile; tiles are bounded in size, and their results merge by score.
+A vector, less the mean, is padded with zeros to PAD times its dimension, turned by a random rotation and kept as
+the signs of its components, packed, with its length and the cosine between it and its code. From these an inner
+product with a query is estimated without bias, with an error that stays within EPSILON standard deviations (which
+fall with the root of the number of bits). In a tile of queries and candidates, a query's best estimates are reranked
+by exact double-precision products, and then all others whose upper bound reaches the k-th best exact one. Every
+candidate meets every query in some tile; tiles are bounded in size, and their results merge by score.
 """
 
 from __future__ import annotations
@@ -20,15 +21,19 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-EPSILON = 2.5
+EPSILON = 2.0
+PAD = 4
+#: Candidates per query whose estimates are best that are reranked at first, as a multiple of k.
+AT_FIRST = 2
 #: Least and most candidates and queries of a tile.
-CANDIDATES, QUERIES = (1024, 32768), (256, 8192)
+CANDIDATES, QUERIES = (2048, 32768), (256, 8192)
 #: Products estimated at once in a task.
 AT_ONCE = 1 << 22
 
 
 def rotation(dim: int, seed: int = 1) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((dim, dim)))
+    """The columns of a random rotation that meet the components of a vector of `dim`; the padding's aren't needed."""
+    q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((PAD * dim, dim)))
     return q * np.sign(np.diag(r))
 
 
@@ -37,12 +42,12 @@ def encode(vectors: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.
     off = vectors - mean
     length = np.sqrt((off * off).sum(1))
     turned = (off / np.maximum(length, 1e-300)[:, None]) @ turn.T
-    return np.packbits(turned > 0, axis=1), length, np.maximum(np.abs(turned).sum(1) / np.sqrt(len(mean)), 1e-9)
+    return np.packbits(turned > 0, axis=1), length, np.maximum(np.abs(turned).sum(1) / np.sqrt(len(turn)), 1e-9)
 
 
 def estimates(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, cosine: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products of queries with coded vectors, and the standard deviations of their errors."""
-    dim = len(mean)
+    dim = len(turn)
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     turned = (queries @ turn.T).astype(np.float32)
     scale = (length / (cosine * np.sqrt(dim))).astype(np.float32)
@@ -90,6 +95,11 @@ def _floats(column: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
 
 
+def _products(q: np.ndarray, c: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Exact inner products of pairs, each summed alike wherever it stands."""
+    return np.concatenate([(q[row[a : a + 65536]] * c[col[a : a + 65536]]).sum(1) for a in range(0, len(row), 65536)] or [np.zeros(0)])
+
+
 def search_tile(queries: pd.DataFrame, found: pd.DataFrame, how: dict, k: int, epsilon: float) -> pd.DataFrame:
     """The k best candidates of each query in a tile, by exact score, then id; a query's own id is left out."""
     dim = how["dim"]
@@ -105,17 +115,20 @@ def search_tile(queries: pd.DataFrame, found: pd.DataFrame, how: dict, k: int, e
     for lo in range(0, len(q_all), step):
         q, own = q_all[lo : lo + step], q_ids[lo : lo + step]
         est, spread = estimates(q, codes, length, cosine, how["mean"], how["turn"])
-        margin = np.float32(epsilon) * spread + np.float32(1e-6)
         self_at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
         mine = ids[self_at] == own
         est[np.flatnonzero(mine), self_at[mine]] = -np.inf
-        low = est - margin
-        if len(ids) > k:
-            floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
+        first = min(AT_FIRST * k, len(ids) - 1)
+        if first >= k:
+            row = np.repeat(np.arange(len(q)), first)
+            col = np.argpartition(est, len(ids) - first, axis=1)[:, len(ids) - first :].ravel()
+            score = _products(q, c, row, col).reshape(len(q), first)
+            floor = np.partition(score, first - k, axis=1)[:, first - k].astype(np.float32) - np.float32(1e-6)
+            est += np.float32(epsilon) * spread
+            row, col = np.nonzero(est >= floor[:, None])
         else:
-            floor = np.full(len(q), -np.inf, np.float32)
-        row, col = np.nonzero((est + margin >= floor[:, None]) & (est > -np.inf))
-        score = np.concatenate([(q[row[a : a + 65536]] * c[col[a : a + 65536]]).sum(1) for a in range(0, len(row), 65536)] or [np.zeros(0)])
+            row, col = np.nonzero(est > -np.inf)
+        score = _products(q, c, row, col)
         order = np.lexsort((ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
         nth = np.arange(len(row)) - np.searchsorted(row, row)
@@ -132,7 +145,7 @@ def _block(n: int, share: int, bounds: tuple[int, int]) -> int:
 def search(index: DataFrame, how: dict, is_query: Column, k: int = 20, epsilon: float = EPSILON) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all other vectors for each indexed vector that is_query (of `id`) holds for."""
     n_query = index.where(is_query).count()
-    across, down = _block(how["n"], 24, CANDIDATES), _block(n_query, 6, QUERIES)
+    across, down = _block(how["n"], 6, CANDIDATES), _block(n_query, 6, QUERIES)
     shipped = index.sparkSession.sparkContext.broadcast(how)
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     queries = index.where(is_query).select("id", "v", block(down).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("across"))
