@@ -41,8 +41,8 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Rank correlation per key with n; null below 3 rows or without variance."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = both.withColumn("__a", average_rank(a, keys)).withColumn("__b", average_rank(b, keys))
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("__rho"), F.count_distinct("__a").alias("__va"), F.count_distinct("__b").alias("__vb"))
-    return out.select(*keys, "n", F.when((F.col("n") >= 3) & (F.col("__va") > 1) & (F.col("__vb") > 1), F.col("__rho")).alias("rho"))
+    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("__a", "__b").alias("__c"), F.stddev_pop("__a").alias("__sa"), F.stddev_pop("__b").alias("__sb"))
+    return out.select(*keys, "n", F.when(F.col("n") >= 3, F.try_divide(F.col("__c"), F.col("__sa") * F.col("__sb"))).alias("rho"))
 
 
 def percentile_error(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
