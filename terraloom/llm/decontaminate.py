@@ -162,8 +162,9 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **op
 
     What stands before and after a span stays, joined by a space. Rows keep their order and columns.
     """
-    found = find_leaks(docs, items, text_col=text_col, **options)
+    own = {c: f"__own_{c}" for c in docs.columns if c == "leaks"}  # find_leaks replaces such a column
     schema = docs.schema
+    found = find_leaks(docs.withColumnsRenamed(own), items, text_col=text_col, **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +178,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **op
                         keep.append(raw[at : words.start[s["start"]]])
                         at = words.end[s["end"] - 1]
                     texts[i] = b" ".join(p.strip() for p in [*keep, raw[at:]] if p.strip()).decode()
-            columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(f.name) for f in schema]
+            columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(own.get(f.name, f.name)) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return found.mapInArrow(cut, schema)
