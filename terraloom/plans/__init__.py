@@ -1,6 +1,6 @@
 """Named queries over the given tables, each with the SQL that its result must equal."""
 
-from . import relational, scores, texts  # noqa: F401
+from . import records, relational, scores, texts  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
