@@ -206,7 +206,7 @@ def _(t):
 @query("c16_country_baselines", """WITH latest AS (SELECT iso, indicator, max_by(value, CAST(year AS bigint) * 100000000 + seq) AS value, max(year) AS year FROM indicators WHERE value IS NOT NULL GROUP BY iso, indicator),
 norm AS (SELECT *, CASE WHEN lo = hi THEN 50 WHEN indicator IN ('i1', 'i5') THEN 100 - 100 * (value - lo) / (hi - lo) ELSE 100 * (value - lo) / (hi - lo) END AS norm FROM (SELECT *, min(value) OVER (PARTITION BY indicator) AS lo, max(value) OVER (PARTITION BY indicator) AS hi FROM latest)),
 p AS (SELECT iso, CASE CAST(substr(indicator, 2) AS int) % 3 WHEN 0 THEN 'E' WHEN 1 THEN 'S' ELSE 'G' END AS pillar, norm, year FROM norm)
-SELECT iso, pillar, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 50 ELSE avg(norm) END, 6) AS score, CAST(median(year) AS int) AS year FROM p GROUP BY iso, pillar""")
+SELECT iso, pillar, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 50 ELSE avg(norm) END, 6) AS score, CAST(floor(median(year)) AS int) AS year FROM p GROUP BY iso, pillar""")
 def _(t):
     key = F.col("year") * F.lit(100000000).cast("long") + F.col("seq")
     latest = t.indicators.where("value is not null").groupBy("iso", "indicator").agg(F.max_by("value", key).alias("value"), F.max("year").alias("year"))
