@@ -314,8 +314,8 @@ def test_language_id_held_out(spark, odd_docs, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = toxicity.fold("doc_id", 4) == 2
     models = langid.fit_languages(docs.where(~out), public_tokenizers.path("piece_bpe_32k.model"))
-    got = langid.identify_languages(docs.where(out), models).select("lang", "language.*", docs.lang.alias("true")).collect()
-    assert np.mean([r[1] == r.true for r in got]) > 0.97
+    got = langid.identify_languages(docs.where(out), models).select(F.col("lang").alias("true"), "language.lang").collect()
+    assert np.mean([r.lang == r.true for r in got]) > 0.97
     odd = {r.doc_id: r.language for r in langid.identify_languages(odd_docs, models).collect()}
     assert odd[4].lang == odd[5].lang == odd[6].lang == "und" and odd[7].lang in models.langs
     assert all(0 <= x.score <= 1 for x in odd.values()) and langid.identify_languages(no_docs, models).count() == 0
