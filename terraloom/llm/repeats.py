@@ -22,19 +22,19 @@ from pyspark.sql import functions as F
 from .anchors import Runs
 from .shared import stored
 from .suffixes import neighbour_prefixes, two_stage_order
-from .textkit import slices, text_buffer
+from .textkit import pieces, slices, text_buffer
 
 SIZE, GRAM = 200, 64
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Runs in one group of the first meeting, and bytes of runs in one suffix array, about.
-GROUP, ARRAY_BYTES = 1 << 19, 1 << 20
+GROUP, ARRAY_BYTES = 1 << 18, 1 << 20
 #: An anchor with more different runs than this is split by place.
 MANY = 500
 #: Places of windows in an anchor's range that stay together when it is split.
 RANGE = 24
-FILTER_BITS = 1 << 26
+FILTER_RATIO, FILTER_BITS = 16, 1 << 26
 #: Texts whose hashes a task remembers, so as to enter each text once.
-MOST_SEEN = 1 << 20
+MOST_SEEN = 1 << 17
 _SALTS = 64
 _FIELDS = [("hash", np.int64), ("bytes", np.int64), ("text", np.int64), ("lo", np.int64), ("n", np.int32), ("multi", np.int8)]
 _WIDTH = sum(np.dtype(t).itemsize for _, t in _FIELDS)
@@ -105,9 +105,9 @@ def _packed(columns: list[np.ndarray], multi: np.ndarray, group: np.ndarray) ->
     order = np.argsort(group, kind="stable")
     group = group[order]
     columns = [c[order].astype(t) for c, (_, t) in zip([*columns, multi], _FIELDS, strict=True)]
-    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    blobs = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(group[cut].astype(np.int32)), pa.array(blobs, pa.binary())], names=["group", "blob"])
+    begin, end = pieces(group)
+    blobs = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(begin, end, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(group[begin].astype(np.int32)), pa.array(blobs, pa.binary())], names=["group", "blob"])
 
 
 def _unpacked(blobs: pd.Series) -> dict[str, np.ndarray]:
@@ -125,17 +125,18 @@ def _result(kind: int, got: dict[str, np.ndarray], on: np.ndarray) -> pd.DataFra
 
 
 def _filter_of(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with the hashes' places set."""
-    bit = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    """A bitmap of FILTER_RATIO bits a hash, FILTER_BITS at most, with the hashes' places set."""
+    size = min(FILTER_BITS, max(1 << 15, 1 << (FILTER_RATIO * hashes.count()).bit_length()))
+    bit = F.col("hash").bitwiseAND(F.lit(size - 1)) + 1
     found = hashes.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # FILTER_BITS at most
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in found:
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
 
 def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(FILTER_BITS - 1)
+    at = hashes & np.uint64(len(bits) * 8 - 1)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 

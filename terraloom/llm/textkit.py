@@ -34,6 +34,12 @@ def _powers(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def pieces(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches of equal keys."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return begin, np.append(begin[1:], len(keys))[: len(begin)]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply)."""
     with np.errstate(over="ignore"):
