@@ -1,9 +1,9 @@
 """N-gram Jaccard join by parity sketches: all links at a threshold, and the components they form.
 
 A text's set is its distinct shingles (hashes of five words). Texts with equal sets are one node. A set's sketch, in
-a size band, is a long row of blocks; each shingle flips one bit of one block. Blocks that differ between two
-sketches are at most their Hamming distance, which is at most the symmetric difference of the sets; at Jaccard t two
-sets of n shingles, the smaller, differ in n*(1-t)/t at most, say d. Of the d+1 first blocks of either sketch that
+a size band, is a long row of blocks of 64 bits; each shingle flips the bits of its hash in one block. The Hamming
+distance of two sketches, in blocks, is at most the symmetric difference of the sets; at Jaccard t two sets of n
+shingles, the smaller, differ in n*(1-t)/t at most, say d. Of the d+1 first blocks of either sketch that
 aren't blank, in any one order of (block, content), some pair is then equal: nodes join on those. The order puts
 contents that many nodes share last. A set that a set of the next band could link with is entered in that band too.
 Joined nodes are verified on their full sets. In a content shared by many nodes, all are first compared with one
@@ -24,25 +24,27 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import stored
-from .textkit import NONSPACE, Words, mix64, shingles, slices
+from .textkit import NONSPACE, Words, mix64, pieces, shingles, slices
 
 SHINGLE, PERCENT = 5, 75
 #: Sets below this size have a block per shingle; bands above it each span a factor of 4.
 SMALL = 64
 #: Contents with this many nodes at most are compared pair by pair at once.
 FEW = 8
-#: A content is common if it stands in this many nodes of one slice; the order knows this many common ones.
-COMMON, MOST_COMMON = 6, 200_000
+#: The order of contents: those in fewer rows than the first come first, those in as many as the last come last.
+OFTEN, ORDER_BITS = (4, 32), 27
 #: Entries that one group of the join holds, about.
-GROUP = 1 << 20
-#: Bits of the filter that picks rows whose sets are fetched; it bounds the broadcast, not the result.
-FILTER_BITS = 1 << 26
-SLICE = 4 << 20
+GROUP = 1 << 19
+#: Rows of two integers that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
+#: Bits per node, and most bits, of the filter that picks rows whose sets are fetched; it bounds the broadcast, not the result.
+FILTER_RATIO, FILTER_BITS = 16, 1 << 26
+SLICE = 1 << 20
+#: Bits of the sketch that a pair is first compared by, and rows of an Arrow batch that tasks get.
+SKETCH_BITS, BATCH_ROWS = 2048, 2000
 _SALTS = 64
 _LOG = math.log(1.02)
 
-_MASK = np.uint64(FILTER_BITS - 1)
-
 
 class Sets:
     """Shingle sets of a slice of texts: sorted by text, and the node (hash of the set) of each."""
@@ -77,7 +79,7 @@ def _entries(sets: Sets, chosen: np.ndarray, most_diff) -> tuple[np.ndarray, np.
     slot = np.repeat(np.arange(len(owner)), size)
     h = sets.h[np.repeat(sets.edge[chosen[owner]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
     block = h % blocks[slot].astype(np.uint64)
-    bit = np.uint64(1) << (mix64(h) >> np.uint64(58))
+    bit = mix64(h)
     order = np.lexsort((block, slot))
     slot, block, bit = slot[order], block[order], bit[order]
     first = np.ones(len(slot), bool)
@@ -123,44 +125,61 @@ def jaccard_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, idh long, n long, node long")
 
 
-def _common_contents(rows: DataFrame, shingle: int, diff) -> np.ndarray:
-    """Contents that stand in many nodes, most common last: those common in some slice, counted over all slices where they are."""
+def _repeated_contents(rows: DataFrame, shingle: int, diff, entries: int) -> list[np.ndarray]:
+    """A bitmap per level of OFTEN, by the top bits of a content (ORDER_BITS at most): contents that stand in so many rows or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    All contents are counted, each group of the shuffle for its own range of the bitmap. The bitmaps only decide the
+    order of contents (as far as their bits tell contents apart), never the result.
+    """
+    size = max(20, min(ORDER_BITS, (8 * entries).bit_length()))
+    top = max(6, min(size - 12, (entries // GROUP).bit_length()))
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 s = Sets(part.column("text"), shingle)
                 chosen = np.unique(s.node, return_index=True)[1]
-                chosen = chosen[s.n[chosen] > 0]
-                _, _, content = _entries(s, chosen, diff)
-                content, count = np.unique(content, return_counts=True)
-                many = count >= COMMON
-                yield pa.RecordBatch.from_arrays([pa.array(content[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["content", "count"])
-
-    counted = rows.mapInArrow(run, "content long, count long").groupBy("content").agg(F.sum("count").alias("count"))
-    top = counted.orderBy(F.desc("count"), "content").limit(MOST_COMMON).collect()  # bounded by MOST_COMMON
-    return np.array([r["content"] for r in reversed(top)], np.int64).view(np.uint64)
-
-
-def _joined(rows: DataFrame, shingle: int, diff, common: np.ndarray, parts: int) -> DataFrame:
+                _, _, content = _entries(s, chosen[s.n[chosen] > 0], diff)
+                content = np.sort(content)
+                group = (content >> np.uint64(64 - top)).astype(np.int32)
+                rest = ((content << np.uint64(top)) >> np.uint64(32)).astype(np.uint32)
+                begin, end = pieces(group)
+                yield pa.RecordBatch.from_arrays([pa.array(group[begin]), pa.array([rest[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())], names=["group", "blob"])
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        rest, n = np.unique(np.frombuffer(b"".join(frame["blob"]), np.uint32), return_counts=True)
+        out = {"group": [int(frame["group"].iloc[0])]}
+        for level, least in enumerate(OFTEN):
+            bits = np.zeros(1 << (size - top), bool)
+            bits[rest[n >= least] >> np.uint32(32 - (size - top))] = True
+            out[f"bits{level}"] = [np.packbits(bits, bitorder="little").tobytes()]
+        return pd.DataFrame(out)
+
+    fields = ", ".join(f"bits{level} binary" for level in range(len(OFTEN)))
+    levels = [np.zeros((1 << top, (1 << (size - top)) // 8), np.uint8) for _ in OFTEN]
+    for r in rows.mapInArrow(enter, "group int, blob binary").groupBy("group").applyInPandas(count, f"group int, {fields}").collect():  # len(OFTEN) * 2**ORDER_BITS bits at most
+        for level, bits in enumerate(levels):
+            bits[r["group"]] = np.frombuffer(r[f"bits{level}"], np.uint8)
+    return [bits.ravel() for bits in levels]
+
+
+def _joined(rows: DataFrame, shingle: int, diff, often: list[np.ndarray], parts: int) -> DataFrame:
     """Contents shared by nodes: (few, a, b, qa, qb). Of contents with few nodes all fitting pairs; of others (few false) rows of content a and node b."""
-    rank = np.argsort(common)
-    shipped = rows.sparkSession.sparkContext.broadcast((common[rank], rank))
+    shipped = rows.sparkSession.sparkContext.broadcast(often)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = shipped.value
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 s = Sets(part.column("text"), shingle)
                 chosen = np.unique(s.node, return_index=True)[1]
                 chosen = chosen[s.n[chosen] > 0]
                 slot, owner, content = _entries(s, chosen, diff)
-                turn = content >> np.uint64(1)
-                hot = np.zeros(len(content), bool)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, content), len(known) - 1)
-                    hot = known[at] == content
-                    turn[hot] = (np.uint64(1) << np.uint64(63)) + place[at[hot]].astype(np.uint64)
+                at = content >> np.uint64(61) - np.uint64(len(shipped.value[0]).bit_length() - 1)
+                level = np.zeros(len(content), np.uint64)
+                for bits in shipped.value:
+                    level += (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                hot = level == len(shipped.value)
+                turn = (level << np.uint64(62)) | (mix64(content) >> np.uint64(2))
                 order = np.lexsort((turn, slot))
                 slot, content, hot = slot[order], content[order], hot[order]
                 nth = np.arange(len(slot)) - np.searchsorted(slot, slot)
@@ -169,13 +188,13 @@ def _joined(rows: DataFrame, shingle: int, diff, common: np.ndarray, parts: int)
                 content, hot = content[keep], hot[keep]
                 doc = chosen[owner[slot[keep]]]
                 node, q = s.node[doc], _log_size(s.n[doc])
-                group = (content >> np.uint64(32)).astype(np.int64) % parts
+                group = (content % np.uint64(parts)).astype(np.int64)
                 group[hot] = -1 - (node[hot].view(np.uint64) % np.uint64(_SALTS)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
                 group, content, node, q = group[order], content[order], node[order], q[order]
-                cut = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0])) if len(group) else np.zeros(0, np.int64)
-                blobs = [content[a:b].tobytes() + node[a:b].tobytes() + q[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(group[cut].astype(np.int32)), pa.array(blobs, pa.binary())], names=["group", "blob"])
+                begin, end = pieces(group)
+                blobs = [content[a:b].tobytes() + node[a:b].tobytes() + q[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(group[begin].astype(np.int32)), pa.array(blobs, pa.binary())], names=["group", "blob"])
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         cols = [[], [], []]
@@ -209,12 +228,16 @@ def _joined(rows: DataFrame, shingle: int, diff, common: np.ndarray, parts: int)
 
 
 def _fetch_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, items) for each wanted node, its sorted shingles as bytes, read from one row that has the set."""
+    """(node, sketch, items) for each wanted node: a parity sketch and its sorted shingles as bytes, read from one row that has the set."""
     spark = rows.sparkSession
-    chosen = stored(nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("idh").alias("idh")), "chosen")
-    bit = F.col("node").bitwiseXOR(F.col("idh")).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    rows_of = nodes.join(wanted, "node", "left_semi").groupBy("node", "idh").count()
+    chosen = stored(rows_of.groupBy("node").agg(F.min(F.struct("idh", "count")).alias("row")).select("node", "row.idh", "row.count"), "chosen")
+    n_chosen, most = chosen.agg(F.count("*"), F.max("count")).first()
+    size = min(FILTER_BITS, max(1 << 15, 1 << (FILTER_RATIO * n_chosen).bit_length()))
+    mask = np.uint64(size - 1)
+    bit = F.col("node").bitwiseXOR(F.col("idh")).bitwiseAND(F.lit(size - 1)) + 1
     found = chosen.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # FILTER_BITS at most
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in found:
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     shipped = spark.sparkContext.broadcast(bits)
@@ -224,16 +247,41 @@ def _fetch_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: i
             for part in slices(batch, "text", SLICE):
                 s = Sets(part.column("text"), shingle)
                 idh = part.column("idh").to_numpy(zero_copy_only=False)
-                at = (s.node.view(np.uint64) ^ idh.view(np.uint64)) & _MASK
+                at = (s.node.view(np.uint64) ^ idh.view(np.uint64)) & mask
                 on = np.flatnonzero((s.n > 0) & ((shipped.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
-                yield pa.RecordBatch.from_arrays([pa.array(s.node[on]), pa.array(idh[on]), pa.array([s.h[s.edge[i] : s.edge[i + 1]].tobytes() for i in on], pa.binary())], names=["node", "idh", "items"])
+                items = [s.h[s.edge[i] : s.edge[i + 1]] for i in on]
+                yield pa.RecordBatch.from_arrays([pa.array(s.node[on]), pa.array(idh[on]), pa.array([parity_sketch(x).tobytes() for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], names=["node", "idh", "sketch", "items"])
+
+    keys = chosen.select("node", "idh")
+    found = rows.mapInArrow(run, "node long, idh long, sketch binary, items binary").join(F.broadcast(keys) if n_chosen <= MOST_BROADCAST else keys, ["node", "idh"], "left_semi").drop("idh")
+    return found.dropDuplicates(["node"]) if most and most > 1 else found  # rows of one id and set
+
 
-    return rows.mapInArrow(run, "node long, idh long, items binary").join(chosen, ["node", "idh"], "left_semi").dropDuplicates(["node"]).drop("idh")
+def parity_sketch(items: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits, each the parity of the shingles that hash to it: two sketches differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((mix64(items) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) % 2 == 1)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that reach the threshold, by their full sets."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    """Those of the distinct pairs (a, b) that reach the threshold: first by sketches, the rest by their full sets."""
+
+    def side(column: str, node: str, name: str) -> DataFrame:
+        return sets.select(F.col("node").alias(node), F.octet_length("items").alias(f"n{name}"), F.col(column).alias(name))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+            n = batch.column(4).to_numpy()
+            ok = pa.array(np.bitwise_count(x ^ y).sum(1) * (100 + percent) <= n * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    near = pairs.join(side("sketch", "a", "x"), "a").join(side("sketch", "b", "y"), "b").select("a", "b", "x", "y", ((F.col("nx") + F.col("ny")) / 8).cast("long").alias("n"))
+    near = stored(near.mapInArrow(close, "a long, b long"), "near")
+    needed = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = sets.join(needed, "node", "left_semi")
+    both = near.join(side("items", "a", "x"), "a").join(side("items", "b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,12 +306,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Repeated rows link with each other. A null id is never a component's smallest unless all are null. Columns
     besides id and text aren't read. An empty table gives no rows.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     rows = _text_rows(docs, id_col, text_col)
     nodes = stored(jaccard_nodes(docs, id_col, text_col, shingle), "nodes")
     diff = _most_diff(percent)
     entries = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(64, math.ceil(entries / GROUP))
-    joined = stored(_joined(rows, shingle, diff, _common_contents(rows, shingle, diff), parts), "joined")
+    joined = stored(_joined(rows, shingle, diff, _repeated_contents(rows, shingle, diff, entries), parts), "joined")
     wide = joined.where("not few").select(F.col("a").alias("content"), F.col("b").alias("node"), F.col("qa").alias("q"))
     reach = math.ceil(math.log(100 / percent) / _LOG) + 1
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]

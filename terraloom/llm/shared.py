@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,8 +23,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows written once to the shared folder and read from there: lineage ends and work isn't repeated."""
+    """The rows written once to the shared folder and read from there: lineage ends and work isn't repeated.
+
+    Shuffle files of the steps before are of no more use then; Spark deletes them once the driver collects garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
