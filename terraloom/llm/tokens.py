@@ -31,7 +31,7 @@ MAGIC = b"TLTOKEN1"
 #: Bytes of text that go to one shard, about.
 SHARD_BYTES = 32 << 20
 #: Words that a worker remembers with their ids; beyond it, new words are encoded but not kept.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 300_000
 
 _TURN = re.compile(r"(?<=\S)(?= )")
 _RISK = re.compile(r"\s |  ")
