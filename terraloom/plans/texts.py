@@ -147,10 +147,7 @@ def _(t):
 
 @query("x06_name_similarity", "")
 def _(t):
-    a = t.customer.select(F.col("c_name").alias("a"), (F.col("c_custkey") % 100).alias("block"))
-    b = t.supplier.select(F.col("s_name").alias("b"), (F.col("s_suppkey") % 100).alias("block"))
-    rows = a.join(b, "block").withColumn("ratio", r6(chunks.similarity("a", "b")))
-    return ranking.first_per_key(rows.where("ratio >= 0.5"), ["a"], F.desc("ratio"), F.col("b")).select("a", "b", "ratio")
+    return chunks.most_similar(t.customer.select("c_name"), t.supplier.select("s_name"), 0.5)
 
 
 @query("x52_last_json", "SELECT event_id, props AS found FROM events")

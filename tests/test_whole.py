@@ -1,0 +1,33 @@
+"""Queries and operators that have no SQL read whole tables: against brute force."""
+
+import difflib
+
+from terraloom import plans
+from terraloom.operators import chunks
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def best_of_all(own, others, least):
+    want = {}
+    for x in own:
+        best = min(((-round(difflib.SequenceMatcher(None, x, y).ratio(), 6), y) for y in others), default=None)
+        if best and -best[0] >= least:
+            want[x] = (best[1], -best[0])
+    return want
+
+
+def test_name_similarity_compares_all_names(spark):
+    own = [r.c_name for r in spark.read.parquet(f"{FOLDER}/customer.parquet").collect()]
+    others = [r.s_name for r in spark.read.parquet(f"{FOLDER}/supplier.parquet").collect()]
+    got = {r.a: (r.b, r.ratio) for r in plans.QUERIES["x06_name_similarity"](spark, FOLDER).collect()}
+    assert got == best_of_all(own, others, 0.5)
+
+
+def test_most_similar_across_tiles(spark):
+    own = ["Acme Holding", "acme", "", "Zürich Re", "qqq", None, "acme", "abc" * 80]
+    others = ["Acme Holdings", "Holding Acme", "acne", "came", "", "Zurich Re AG", "", None, "cba" * 80]
+    a, b = (spark.createDataFrame([(x,) for x in names], "name string") for names in (own, others))
+    want = best_of_all({x for x in own if x is not None}, {y for y in others if y is not None}, 0.5)
+    for tiles in ((500, 1000), (2, 1)):
+        assert {r.a: (r.b, r.ratio) for r in chunks.most_similar(a, b, 0.5, tiles).collect()} == want
