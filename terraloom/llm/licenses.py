@@ -1,6 +1,7 @@
 """License scans: places of license phrases, and an exact set-similarity join of text blocks with templates.
 
-Only DataFrame functions are used. A block is a line. Its containment in a template is the share of the
+Only DataFrame functions are used. A block is a line, or a window of as many consecutive words as the template has,
+whatever line breaks it holds. Its containment in a template is the share of the
 template's distinct words that the block has. Template words are ordered by how often the corpus has them, rarest
 first. A block that reaches the threshold must have one of a template's |T| - need + 1 rarest words (prefix), must
 have `need` template words at all (length), and enough must be left after the first common word (position); blocks
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Phrases and labels of the base scan.
@@ -25,6 +27,23 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
 ]
+# What the license texts themselves say, or ask to be put into files. They are met by windows only.
+NOTICES = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+        to do so, subject to the following conditions:"""),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met:"""),
+    ("bsd", """Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer."""),
+    ("cc-by-nc", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
+]
 THRESHOLD = 0.8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,15 +127,48 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     return rows.select(*keep, "line", "label", (common / F.size("__words")).alias("containment"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def window_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + NOTICES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Windows that meet the threshold with a template of as many words: the row's columns, word (where it begins, from 0), label, containment.
+
+    Line breaks don't count. Only windows that begin with a template word are given: others hold no more of it. Rows
+    are first held against the templates as a whole: one of any |T| - need + 1 words of a template (the longest are
+    taken) and `need` words in all must be there. Equal rows and repeated matches are given once; nulls match nothing.
+    """
+    import re
+
+    sizes = [sum(bool(w) for w in re.split(GAP, text.lower())) for _, text in templates]
+    sets = template_sets(templates)
+    vocabulary = sorted({w for _, words in sets for w in words})
+    scale = 4 * max(sizes) ** 2  # a window of n words spans less than scale - max(sizes) in places of scale // n each, and n + 1 words more
+    literal = lambda words: F.array(*map(F.lit, words))
+    fitting = []
+    for (label, words), size in zip(sets, sizes, strict=True):
+        need = math.ceil(threshold * len(words) - 1e-9)
+        first = sorted(words, key=lambda w: (-len(w), w))[: len(words) - need + 1]
+        near = F.arrays_overlap("__has", literal(first)) & (F.size(F.array_intersect("__has", literal(words))) >= need)
+        fitting.append(F.when(near, F.struct(F.lit(label).alias("label"), F.lit(need).alias("need"), F.lit(scale // size).alias("step"), literal(words).alias("words"))))
+    keep = [c for c in docs.columns if c not in (text_col, "word", "label", "containment")]
+    rows = docs.select(*keep, F.col(text_col).alias("__text"), F.array_distinct(F.filter(_words(F.col(text_col)), lambda w: w.isin(vocabulary))).alias("__has"))
+    rows = rows.select(*keep, "__text", F.array_compact(F.array(*fitting)).alias("__fit")).where(F.size("__fit") > 0)
+    rows = rows.select(*keep, F.explode("__fit").alias("__t"), F.filter(_words(F.col("__text")), lambda w: w != "").alias("__all"))
+    placed = F.filter(F.transform("__all", lambda w, i: F.struct(i.alias("word"), w.alias("w"))), lambda x: F.array_contains(F.col("__t.words"), x["w"]))
+    hits = rows.select(*keep, "__t", F.explode(placed).alias("__hit")).select(*keep, "__t", F.col("__hit.word").alias("word"), F.col("__hit.w").alias("__w")).distinct()
+    ahead = W.partitionBy(*keep, "__t").orderBy(F.col("word").cast("long") * F.col("__t.step")).rangeBetween(0, scale - max(sizes) - 1)
+    common = F.size(F.collect_set("__w").over(ahead))
+    found = hits.select(*keep, "word", "__t", common.alias("__common")).where(F.col("__common") >= F.col("__t.need"))
+    return found.select(*keep, "word", F.col("__t.label").alias("label"), (F.col("__common") / F.size("__t.words")).alias("containment"))
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    labels are the base labels and those of matched templates. score is 1 where a base phrase stands, else the
+    labels are the base labels and those of matched templates, by lines, and of templates and notices by windows. score is 1 where a base phrase stands, else the
     best containment of a matched template, else 0. Rows without text have no words and no labels. Rows that agree
     in id and text share their matches, so repeated rows each get them; only (id, text hash, label) are shuffled.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).cast("string").alias("__text"))
-    found = template_matches(rows, templates, threshold, "__text").groupBy("__id", "__hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = template_matches(rows, templates, threshold, "__text").drop("line").unionByName(window_matches(rows, [*templates, *notices], threshold, "__text").drop("word"))
+    found = found.groupBy("__id", "__hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     found = found.select(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"), "more", "best")
     base = rows.select("__id", "__hash", *[c.alias(n) for n, c in base_scan(F.col("__text")).items()])
     out = base.join(found, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
@@ -127,7 +179,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for scan_licenses over documents: every line against every template."""
+    """DuckDB SQL for scan_licenses over documents: every line against every template. It has no windows: texts with wrapped notices get more labels from scan_licenses."""
     gap, phrases = GAP, list(PHRASES)
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     values = ", ".join(f"('{label}', {quoted(words)}, {math.ceil(THRESHOLD * len(words) - 1e-9)})" for label, words in template_sets(TEMPLATES))
