@@ -3,7 +3,8 @@
 import math
 import re
 
-from terraloom.llm import licenses
+from terraloom.llm import licenses, tokens
+from terraloom.llm.queries import tokenizer_path
 
 MIT = """Copyright (c) 2020 Some One
 
@@ -52,3 +53,12 @@ def test_license_windows_match_brute_force(spark):
                     want.add((i, at, label, round(common / len(own), 9)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r.doc_id, r.word, r.label, round(r.containment, 9)) for r in licenses.window_matches(df).collect()} == want and len(want) > 30
+
+
+def test_encoder_equals_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh, coder = Tokenizer.from_file(tokenizer_path()), tokens.Encoder(tokenizer_path())
+    assert coder.encode(["<|endoftext|>"])[0].tolist() == [fresh.token_to_id("<|endoftext|>")]
+    for t in ["<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b", "a  <|endoftext|>  b\n<|endoftext|>\n", "<|endoftext|><|endoftext|>, x.", "x <|endoftext|>. y", "<|endoftext |>", "plain words, only."]:
+        assert coder.encode([t])[0].tolist() == fresh.encode(t, add_special_tokens=False).ids, t
