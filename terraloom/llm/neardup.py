@@ -163,7 +163,12 @@ def _repeated_contents(rows: DataFrame, shingle: int, diff, entries: int) -> lis
     return [bits.ravel() for bits in levels]
 
 
-def _joined(rows: DataFrame, shingle: int, diff, often: list[np.ndarray], parts: int) -> DataFrame:
+def _reach(percent: int) -> int:
+    """Most that the logarithms of two linked sets' sizes can differ."""
+    return math.ceil(math.log(100 / percent) / _LOG) + 1
+
+
+def _joined(rows: DataFrame, shingle: int, diff, often: list[np.ndarray], parts: int, reach: int) -> DataFrame:
     """Contents shared by nodes: (few, a, b, qa, qb). Of contents with few nodes all fitting pairs; of others (few false) rows of content a and node b."""
     shipped = rows.sparkSession.sparkContext.broadcast(often)
 
@@ -214,7 +219,6 @@ def _joined(rows: DataFrame, shingle: int, diff, often: list[np.ndarray], parts:
         many = size > FEW if frame["group"].iloc[0] >= 0 else size > 0
         wide = np.repeat(many, size)
         out = [(False, content[wide].view(np.int64), node[wide], q[wide], q[wide])]
-        reach = math.ceil(math.log(100 / PERCENT) / _LOG) + 1
         for m in range(2, FEW + 1):
             own = at[(size == m) & ~many]
             for i in range(m if len(own) else 0):
@@ -312,9 +316,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     diff = _most_diff(percent)
     entries = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(64, math.ceil(entries / GROUP))
-    joined = stored(_joined(rows, shingle, diff, _repeated_contents(rows, shingle, diff, entries), parts), "joined")
+    reach = _reach(percent)
+    joined = stored(_joined(rows, shingle, diff, _repeated_contents(rows, shingle, diff, entries), parts, reach), "joined")
     wide = joined.where("not few").select(F.col("a").alias("content"), F.col("b").alias("node"), F.col("qa").alias("q"))
-    reach = math.ceil(math.log(100 / percent) / _LOG) + 1
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     # Contents with many nodes: all meet the least node first.
     head = wide.groupBy("content").agg(F.min(F.struct("node", "q")).alias("head"), F.count("*").alias("size")).where("size > 1")

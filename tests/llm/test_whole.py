@@ -3,7 +3,7 @@
 import math
 import re
 
-from terraloom.llm import licenses, tokens
+from terraloom.llm import licenses, neardup, tokens
 from terraloom.llm.queries import tokenizer_path
 
 MIT = """Copyright (c) 2020 Some One
@@ -62,3 +62,17 @@ def test_encoder_equals_a_fresh_tokenizer():
     assert coder.encode(["<|endoftext|>"])[0].tolist() == [fresh.token_to_id("<|endoftext|>")]
     for t in ["<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b", "a  <|endoftext|>  b\n<|endoftext|>\n", "<|endoftext|><|endoftext|>, x.", "x <|endoftext|>. y", "<|endoftext |>", "plain words, only."]:
         assert coder.encode([t])[0].tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+
+
+def test_jaccard_at_half_with_sets_of_different_sizes(spark):
+    import random
+
+    rng = random.Random(4)
+    docs = []
+    for i in range(12):  # each long text and its beginning: Jaccard is the ratio of the sizes, from 0.44 to 0.85
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: round(100 * (0.44 + 0.037 * i)) + 4]))]
+    sizes = [(100, len(t.split()) - 4) for i, t in docs if i % 2]
+    want = {2 * i + 1: 2 * i if 100 * n >= 50 * m else 2 * i + 1 for i, (m, n) in enumerate(sizes)} | {2 * i: 2 * i for i in range(12)}
+    got = neardup.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), percent=50)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want and 0 < sum(i != c for i, c in want.items()) < 12
