@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,11 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = stored(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("parent")), "parents")
         if labels is None:
-            labels = parents.select("node", F.col("parent").alias("label"))
+            named = parents.select("node", F.col("parent").alias("label"))
         else:
             up = parents.select(F.col("node").alias("label"), "parent")
-            labels = labels.join(up, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
-        labels = stored(labels, "labels")
+            named = labels.join(up, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
+        named = stored(named, "labels")
         moved = left.join(parents.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(parents.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
-        left = stored(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        moved = stored(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard(left, parents, *([labels] if labels is not None else []))
+        left, labels = moved, named
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
