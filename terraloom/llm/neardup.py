@@ -330,16 +330,18 @@ class Tile:
 
 
 def _tiles(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """(group, bucket, i, j, other, node, ..., items): every node of a bucket in each tile of its block with another, or with itself (i = j)."""
-    rows = buckets.join(sets, "node").withColumn("bytes", F.octet_length("items"))
-    blocks = rows.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.sum("bytes").alias("bytes"), F.count("*").alias("__m")).where("__m > 1")
-    blocks = stored(blocks.select("bucket", "blocks", "bytes"), "blocks")
-    total = blocks.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
-    groups = max(1, math.ceil(total / TILES_BYTES))
-    rows = rows.drop("bytes").join(blocks.drop("bytes"), "bucket")
+    """(group, bucket, i, j, other, node, ..., items): every node of a bucket in each tile of its block with another, or with itself (i = j).
+
+    Tiles are dealt before the sets join them, so a set is shuffled once and then once for each of its tiles.
+    """
+    blocks = buckets.groupBy("bucket").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"), F.sum("n").alias("sum"), F.count("*").alias("__m")).where("__m > 1")
+    blocks = stored(blocks.select("bucket", "blocks", "sum"), "blocks")
+    total = blocks.agg(F.sum(F.col("sum") * F.col("blocks"))).first()[0] or 0
+    groups = max(1, math.ceil(8 * total / TILES_BYTES))
+    rows = buckets.drop("n").join(blocks.drop("sum"), "bucket")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).withColumn("other", F.col("own") > F.col("with"))
-    return rows.withColumn("group", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups))).drop("blocks", "own", "with")
+    return rows.withColumn("group", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups))).drop("blocks", "own", "with").join(sets, "node")
 
 
 def _compared(frame: pd.DataFrame, percent: int) -> Iterator[tuple[pd.DataFrame, Iterator[tuple[int, np.ndarray]]]]:
@@ -402,14 +404,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         buckets = stored(_buckets(shared), "buckets")
         found = stored(_with_sets(rows, buckets.select("node").distinct(), shingle), "sets")
         sets = stored(found.where("items is not null").groupBy("node").agg(F.min("items").alias("items")), "sets")
-        links = stored(_forest(buckets.drop("n"), sets, percent), "links")
+        links = stored(_forest(buckets, sets, percent), "links")
         labels = components(links)
-        copies = found.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+        copies = found.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min("n").alias("n"))
         copies = copies.join(labels, "node", "left").where("label is not null or copies > 1")
         copies = stored(copies.withColumn("bucket", F.coalesce("label", "node")).drop("label"), "members")
         counted = _counted(copies.drop("least"), sets, percent)
         whole = copies.groupBy("bucket").agg(F.min("least").alias("least"), F.sum("copies").alias("n_rows"))
-        members = copies.drop("least").join(whole, "bucket").join(counted, "node", "left")
+        members = copies.drop("least", "n").join(whole, "bucket").join(counted, "node", "left")
         members = stored(members.select("node", "least", "n_rows", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "members")
     discard(shared, buckets, sets, links, labels, copies)
     out = found.select("id", "n", "node").join(members, "node", "left")
