@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,23 +31,38 @@ from .shared import new_path, stored
 MAGIC = b"TLTOKEN1"
 #: Bytes of text that go to one shard, about.
 SHARD_BYTES = 32 << 20
-#: Words that a worker remembers with their ids; beyond it, new words are encoded but not kept.
-MOST_WORDS = 300_000
+#: Words that a task remembers with their ids (some 150 bytes each); beyond it, all are dropped.
+MOST_WORDS = 500_000
 
 _TURN = re.compile(r"(?<=\S)(?= )")
-_RISK = re.compile(r"\s |  ")
+#: A space after a white-space character: such texts can't be cut at every space.
+_RUNS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
+#: Leads a piece that no space leads; no text has this character.
+_BARE = "\ud800"
 
 
-#: How a byte-level vocabulary shows bytes: printable ones as themselves, the rest from U+0100 on.
-_SHOWN = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
-_SHOWN |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: How a byte-level vocabulary shows a space.
+SPACE = "\u0120"
+
+
+class _Numbered(dict):
+    """Pieces and their numbers. A piece looked up for the first time gets the next number and is put on a list."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
 
 
 class Encoder:
-    """A byte-level BPE of the tokenizers library, with each space-led word encoded once per worker.
+    """A byte-level BPE of the tokenizers library, with each space-led word encoded once per task.
 
     The vocabulary's pattern never joins a non-space with a space after it, nor looks behind, so a text may be
-    cut before each space that follows a non-space: the pieces' ids, concatenated, are the text's ids.
+    cut before each space that follows a non-space: the pieces' ids, concatenated, are the text's ids. Pieces are
+    kept without the space that leads them.
     """
 
     kept: dict[str, Encoder] = {}
@@ -60,8 +76,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.space = _SHOWN[32]
         self.tails = {c: self.tokenizer.model.token_to_id(c) for c in ",."}
+        self.leads = np.zeros(self.size, bool)  # ids that begin with a space
+        self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
         self.clear()
 
     @classmethod
@@ -71,79 +88,88 @@ class Encoder:
         return cls.kept[path]
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
+        """Forgets all pieces."""
+        self.pieces = _Numbered()
         self.used = 0
-        self.ids = np.zeros(1 << 20, self.dtype)
-        self.ends = np.zeros(1 << 17, np.int64)  # of a word's ids; they begin where the last word's end
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Remembers pieces. A space and letters is one word of the vocabulary's pattern, and so is a comma or stop after it: they go straight to the library's model."""
-        model, whole = self.tokenizer.model, []
-        found: dict[str, list[int]] = {}
-        for piece in pieces:
-            word = piece[1:]
-            if not word.isalpha() or piece[0] != " ":
-                word, tail = word[:-1], self.tails.get(piece[-1])
-                if tail is None or not word.isalpha() or piece[0] != " ":
+        self.ids = np.zeros(1 << 16, self.dtype)
+        self.begin, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def _learn(self) -> None:
+        """Encodes the new pieces. A space and letters is one word of the vocabulary's pattern, and so is a comma or stop after it.
+
+        Such words are encoded many at a time as one text: only a word's first id has the space. Other pieces are
+        texts of their own.
+        """
+        words, tailed, whole = [], [], []
+        at = 0
+        while at < len(new := self.pieces.new):  # a word without its stop may be new as well
+            for piece in new[at:]:
+                at += 1
+                if piece.isalpha():
+                    words.append(piece)
+                elif piece[-1:] in self.tails and piece[:-1].isalpha():
+                    tailed.append((piece, self.pieces[piece[:-1]]))
+                else:
                     whole.append(piece)
-                    continue
-                ids = found.get(piece[:-1])
-                if ids is None:
-                    word = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-                    ids = found[piece[:-1]] = [t.id for t in model.tokenize(self.space + word)]
-                found[piece] = [*ids, tail]
-            elif piece not in found:
-                word = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-                found[piece] = [t.id for t in model.tokenize(self.space + word)]
-        for lo in range(0, len(whole), 2000):
-            some = whole[lo : lo + 2000]
-            found.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        known, ids = self.words, []
-        n = np.zeros(len(found), np.int64)
-        for i, (piece, x) in enumerate(found.items()):
-            if piece not in known:
-                known[piece] = len(known)
-                ids += x
-                n[i] = len(x)
-            else:
-                n[i] = -1
-        ends = (self.used + np.cumsum(n[n >= 0])).tolist()
+        self.pieces.new = []
+        ids = self._encoded([" " + " ".join(words[lo : lo + 1000]) for lo in range(0, len(words), 1000)])[0]
+        begin = np.flatnonzero(self.leads[ids])
+        if len(begin) != len(words):
+            raise ValueError("the vocabulary cuts words otherwise than by spaces")
+        self._keep(words, ids, np.diff(np.append(begin, len(ids))))
+        self._keep(whole, *self._encoded([p[1:] if p[0] == _BARE else " " + p for p in whole]))
+        ids, n = self._ids(np.array([stem for _, stem in tailed], np.int64))
+        ids = np.insert(ids, np.cumsum(n), np.array([self.tails[p[-1]] for p, _ in tailed], self.dtype))
+        self._keep([p for p, _ in tailed], ids, n + 1)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for lo in range(0, len(texts), 2000) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 2000], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), self.dtype), np.array([len(e) for e in each], np.int64)
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(known) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while len(self.pieces) > len(self.n):
+            self.begin, self.n = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.n, np.zeros_like(self.n)])
+        number = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.ends[len(known) - len(ends) : len(known)] = ends
+        self.begin[number], self.n[number] = self.used + np.cumsum(n) - n, n
         self.used += len(ids)
 
+    def _ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of numbered pieces, and how many each has."""
+        n = self.n[number].astype(np.int64)
+        total = np.cumsum(n)
+        return self.ids[np.repeat(self.begin[number] - (total - n), n) + np.arange(int(n.sum()))], n
+
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has; end_id is appended to each."""
-        if len(self.words) > MOST_WORDS:
+        if len(self.pieces) > MOST_WORDS:
             self.clear()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _RISK.search(text):
-                parts = _TURN.split(text)
+            if any(r in text for r in _RUNS):
+                parts = [p[1:] if p[0] == " " and len(p) > 1 else _BARE + p for p in _TURN.split(text)]
             else:
                 parts = text.split(" ")
-                parts[1:] = [" " + p for p in parts[1:]]
-                if not parts[0]:
+                if parts[0]:
+                    parts[0] = _BARE + parts[0]
+                else:
                     del parts[0]
+                if parts and not parts[-1]:
+                    parts[-1] = _BARE + " "
             counts[i] = len(parts)
             pieces += parts
-        known = self.words
-        if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-            self._learn(new)
-        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        begin = np.where(at > 0, self.ends[at - 1], 0)
-        n = self.ends[at] - begin
+        number = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        if self.pieces.new:
+            self._learn()
+        ids, n = self._ids(number)
         total = np.concatenate([[0], np.cumsum(n)])
         edge = np.concatenate([[0], np.cumsum(counts)])
         lengths = total[edge[1:]] - total[edge[:-1]]
-        ids = self.ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
         if end_id is not None:
             ids = np.insert(ids, total[edge[1:]], end_id)
             lengths = lengths + 1
@@ -262,7 +288,10 @@ def write_token_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
                     ends[:] = [ends[0] if ends else keys[0], keys[-1]]
                     yield keys, *coder.encode(texts, end_id)
 
-        done = write_shard(folder, encoded(), coder.dtype)
+        try:
+            done = write_shard(folder, encoded(), coder.dtype)
+        finally:
+            coder.clear()  # the worker may go on to other stages
         if done["n_docs"]:
             row = {"shard": TaskContext.get().partitionId(), "folder": folder, **done, "first_key": ends[0], "last_key": ends[1]}
             yield pa.RecordBatch.from_pylist([row | {k: None if row[k] is None else str(row[k]) for k in ("first_key", "last_key")}], schema=_MANIFEST)
