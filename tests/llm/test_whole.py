@@ -3,7 +3,7 @@
 import math
 import re
 
-from terraloom.llm import licenses, neardup, tokens
+from terraloom.llm import langid, licenses, neardup, onebit, pii, tokens
 from terraloom.llm.queries import tokenizer_path
 
 MIT = """Copyright (c) 2020 Some One
@@ -76,3 +76,34 @@ def test_jaccard_at_half_with_sets_of_different_sizes(spark):
     want = {2 * i + 1: 2 * i if 100 * n >= 50 * m else 2 * i + 1 for i, (m, n) in enumerate(sizes)} | {2 * i: 2 * i for i in range(12)}
     got = neardup.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), percent=50)
     assert {r.doc_id: r.component_id for r in got.collect()} == want and 0 < sum(i != c for i, c in want.items()) < 12
+
+
+def test_pii_adds_spans_of_other_formats_and_few_others(spark):
+    import random
+    import time
+
+    rng = random.Random(5)
+    words = "some plain words stand here and there in a text of no use".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    number = lambda: str(rng.randrange(10**15, 10**16))
+
+    def card():
+        while not pii.luhn(c := number()):
+            pass
+        return c
+
+    kinds = [lambda: f"{rng.choice(words)}.{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), card, lambda: f"+1 ({rng.randrange(100, 1000)}) 555-{rng.randrange(1000, 10000)}", lambda: f'token = "{rng.randrange(16**39, 16**40):x}"', lambda: f"{number()[:7]}.{number()[:3]}", lambda: f"{rng.randrange(1999, 2030)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)}"]
+    docs = [(i, f"{say(9)} {rng.choice(kinds)()} {say(9)}") for i in range(1500)]
+    detector = pii.fit_detector(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert all(found >= 0.9 * there > 0 and precision >= 0.9 for there, found, precision in detector.held_out.values())
+    for text, kind in [("write to joe.7 (at) mail3.example (dot) com now", "email"), ("here and 415-555-0134 there", "phone"), ("plain 10[.]20[.]3[.]4 words", "ip"), ('and token = "681c09b8e90e7e8c9575180f595f646cf2969054" here', "secret")]:
+        base, spans = detector.spans(text)
+        assert not base and [k for k, _, _ in spans] == [kind], text
+    for text in ["plain words here 2024-01-02 12:30 and 3.14159", "see 12345 and 1.2.3 there", "no use at home in there"]:
+        assert detector.spans(text)[1] == [], text
+    took = []
+    for n in (2000, 8000):  # four times the text, about four times the time
+        began = time.thread_time()
+        detector.spans("a1b2 415-555-0134, x@y.zz 1.2.3.4 4111.1111.1111.1112; " * n)
+        took.append(time.thread_time() - began)
+    assert took[1] < 9 * took[0]
