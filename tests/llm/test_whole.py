@@ -107,3 +107,38 @@ def test_pii_adds_spans_of_other_formats_and_few_others(spark):
         detector.spans("a1b2 415-555-0134, x@y.zz 1.2.3.4 4111.1111.1111.1112; " * n)
         took.append(time.thread_time() - began)
     assert took[1] < 9 * took[0]
+
+
+def test_words_of_any_length_are_scored_whole():
+    import numpy as np
+    import pyarrow as pa
+    from terraloom.llm.textkit import Words
+
+    rng = np.random.default_rng(3)
+    models = langid.LanguageModels([b"\x01a", b"ab", b"ba", b"abababababababababab"], ["x", "y"])
+    models.p = rng.dirichlet(np.ones(models.pieces.n), 2).T
+
+    def brute(word):
+        """The same sum with whole numbers' exponents kept apart, by bytes."""
+        raw = b"\x01" + word.encode()
+        place = {h: i for i, h in enumerate(models.pieces.hashes.tolist())}
+        of = lambda p: place.get(int(models.pieces._hash(models.pieces._totals(np.frombuffer(p, np.uint8)), np.array([0]), np.array([len(p)]))[0]))
+        at = [np.zeros(2)]
+        for t in range(1, len(raw) + 1):
+            terms = [at[t - n] + np.log(models.p[i]) for n in range(1, min(t, 20) + 1) if (i := of(raw[t - n : t])) is not None]
+            at.append(np.logaddexp.reduce(terms))
+        return at[-1]
+
+    words = ["ab", "abba" * 5, "ab" * 60, "é" * 100, "ab" * 1200, "b"]
+    got = models.word_scores(Words(pa.array(words)), np.arange(len(words)))
+    assert np.allclose(got, [brute(w) for w in words])
+
+
+def test_language_of_texts_without_letters_is_unknown(spark):
+    docs = [(i, t, "xx" if i % 2 else "yy") for i, t in enumerate(["la le li lo lu", "der die das und ein"] * 20)]
+    import public_tokenizers
+
+    models = langid.fit_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"))
+    odd = [(1, "²"), (2, "½ ①"), (3, "12 -"), (4, "²a"), (5, None), (6, ""), (7, "漢" * 5000), (7, "漢" * 5000)]
+    got = [(r.doc_id, r.language.lang) for r in langid.identify_languages(spark.createDataFrame(odd, "doc_id long, text string"), models).collect()]
+    assert {i for i, lang in got if lang == "und"} == {1, 2, 3, 5, 6} and len(got) == 8
