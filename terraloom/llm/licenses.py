@@ -11,11 +11,14 @@ that pass are verified.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 # Phrases and labels of the base scan.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Public notice texts of well-known licenses.
@@ -72,7 +75,7 @@ def base_scan(text: Column) -> dict[str, Column]:
     maybe = F.contains(F.lower(text), F.lit("license"))
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(_folded(text), GAP, " ")), F.lit(" "))
     found = maybe & F.regexp_like(spaced, F.lit(_ANY))
-    last = F.regexp_extract(spaced, r"^(.* )(?:" + "|".join(PHRASES) + r")(?= )", 1)
+    last = F.regexp_extract(spaced, r"(?s)^(.* )(?:" + "|".join(PHRASES) + r")(?= )", 1)
     labels = F.array(*[F.when(F.contains(spaced, F.lit(f" {p} ")), F.lit(label)) for p, label in PHRASES.items()])
     return {
         "n_words": F.regexp_count(text, F.lit(WORD)).cast("long"),
@@ -89,30 +92,46 @@ def template_sets(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]
     return [(label, sorted({w for w in re.split(GAP, text.lower()) if w})) for label, text in templates]
 
 
-def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def template_prefixes(docs: DataFrame, templates: list[tuple[str, str]], threshold: float = THRESHOLD, text_col: str = "text") -> tuple[dict[str, int], list[list[str]]]:
+    """The places of all template words by how often the corpus has them (rarest first), and each template's prefix.
+
+    A block that reaches the threshold has one of the |T| - need + 1 rarest words of the template.
+    """
+    sets = template_sets(templates)
+    vocabulary = sorted({w for _, words in sets for w in words})
+    if not vocabulary:
+        raise ValueError("no template words")
+    counted = docs.select(F.explode(F.filter(_words(F.col(text_col)), lambda w: w.isin(vocabulary))).alias("word")).groupBy("word").count()
+    often = {r["word"]: r["count"] for r in counted.collect()}  # a row per template word at most
+    place = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
+    return place, [sorted(words, key=place.__getitem__)[: len(words) - math.ceil(threshold * len(words) - 1e-9) + 1] for _, words in sets]
+
+
+def may_match(prefixes: list[list[str]], text: Column) -> Column:
+    """Whether a text has a word of any prefix somewhere, in a longer word perhaps; others hold no match."""
+    lower = F.lower(text)
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in sorted({w for p in prefixes for w in p}, key=len, reverse=True)]), F.lit(False))
+
+
+def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", place: dict[str, int] | None = None) -> DataFrame:
     """Every line of every row that meets the threshold with a template: the row's columns, line (from 0), label, containment.
 
     Null and empty texts match nothing; repeated rows match each for itself. A text column is not returned.
     Columns `line`, `label` and `containment` of docs are replaced. The templates are a short fixed list, so
-    their words (counted over the whole corpus) and their index are sent along with the plan.
+    their words' order (place; counted over docs if not given) and their index are sent along with the plan.
     """
     sets = template_sets(templates)
+    place = place or template_prefixes(docs, templates, threshold, text_col)[0]
     vocabulary = sorted({w for _, words in sets for w in words})
-    if not vocabulary:
-        raise ValueError("no template words")
     need = [math.ceil(threshold * len(words) - 1e-9) for _, words in sets]
     known = lambda words: F.filter(words, lambda w: w.isin(vocabulary))
-    counted = docs.select(F.explode(known(_words(F.col(text_col)))).alias("word")).groupBy("word").count()
-    often = {r["word"]: r["count"] for r in counted.collect()}  # a row per template word at most
-    order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
-    place = {w: i for i, w in enumerate(order)}
     index = []
     for (label, words), least in zip(sets, need, strict=True):
         words = sorted(words, key=place.__getitem__)
         for position, word in enumerate(words[: len(words) - least + 1]):
             index.append(F.struct(F.lit(word).alias("__word"), F.lit(label).alias("label"), F.lit(least).alias("__need"), F.lit(position).alias("__at"), F.array(*map(F.lit, words)).alias("__words")))
     prefixes = docs.sparkSession.range(1).select(F.inline(F.array(*index)))
-    rank = F.create_map(*[x for w, i in place.items() for x in (F.lit(w), F.lit(i))])
+    rank = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(place[w]))])
 
     keep = [c for c in docs.columns if c not in (text_col, "line", "label", "containment")]
     lines = docs.select(*keep, F.posexplode(F.split(F.col(text_col), LINE)).alias("line", "__line"))
@@ -127,12 +146,12 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     return rows.select(*keep, "line", "label", (common / F.size("__words")).alias("containment"))
 
 
-def window_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + NOTICES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def window_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + NOTICES, threshold: float = THRESHOLD, text_col: str = "text", place: dict[str, int] | None = None) -> DataFrame:
     """Windows that meet the threshold with a template of as many words: the row's columns, word (where it begins, from 0), label, containment.
 
     Line breaks don't count. Only windows that begin with a template word are given: others hold no more of it. Rows
-    are first held against the templates as a whole: one of any |T| - need + 1 words of a template (the longest are
-    taken) and `need` words in all must be there. Equal rows and repeated matches are given once; nulls match nothing.
+    are first held against the templates as a whole: one of a template's |T| - need + 1 first words (by place; the
+    longest if that isn't given) and `need` words in all must be there. Equal rows and repeated matches are given once; nulls match nothing.
     """
     import re
 
@@ -144,7 +163,7 @@ def window_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     fitting = []
     for (label, words), size in zip(sets, sizes, strict=True):
         need = math.ceil(threshold * len(words) - 1e-9)
-        first = sorted(words, key=lambda w: (-len(w), w))[: len(words) - need + 1]
+        first = sorted(words, key=(lambda w: (-len(w), w)) if place is None else place.__getitem__)[: len(words) - need + 1]
         near = F.arrays_overlap("__has", literal(first)) & (F.size(F.array_intersect("__has", literal(words))) >= need)
         fitting.append(F.when(near, F.struct(F.lit(label).alias("label"), F.lit(need).alias("need"), F.lit(scale // size).alias("step"), literal(words).alias("words"))))
     keep = [c for c in docs.columns if c not in (text_col, "word", "label", "containment")]
@@ -162,12 +181,16 @@ def window_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    labels are the base labels and those of matched templates, by lines, and of templates and notices by windows. score is 1 where a base phrase stands, else the
-    best containment of a matched template, else 0. Rows without text have no words and no labels. Rows that agree
-    in id and text share their matches, so repeated rows each get them; only (id, text hash, label) are shuffled.
+    labels are the base labels and those of matched templates, by lines, and of templates and notices by windows.
+    score is 1 where a base phrase stands, else the best containment of a matched template, else 0. Rows without text
+    have no words and no labels, and an empty table gives no rows. Rows that agree in id and text share their matches,
+    so repeated rows each get them. Texts without any prefix word of any template are put aside at once; blocks are
+    made of the others, which are written once. Only (id, text hash, label) are shuffled.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).cast("string").alias("__text"))
-    found = template_matches(rows, templates, threshold, "__text").drop("line").unionByName(window_matches(rows, [*templates, *notices], threshold, "__text").drop("word"))
+    place, prefixes = template_prefixes(rows, [*templates, *notices], threshold, "__text")
+    likely = stored(rows.where(may_match(prefixes, F.col("__text"))), "likely")
+    found = template_matches(likely, templates, threshold, "__text", place).drop("line").unionByName(window_matches(likely, [*templates, *notices], threshold, "__text", place).drop("word"))
     found = found.groupBy("__id", "__hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     found = found.select(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"), "more", "best")
     base = rows.select("__id", "__hash", *[c.alias(n) for n, c in base_scan(F.col("__text")).items()])

@@ -142,3 +142,32 @@ def test_language_of_texts_without_letters_is_unknown(spark):
     odd = [(1, "²"), (2, "½ ①"), (3, "12 -"), (4, "²a"), (5, None), (6, ""), (7, "漢" * 5000), (7, "漢" * 5000)]
     got = [(r.doc_id, r.language.lang) for r in langid.identify_languages(spark.createDataFrame(odd, "doc_id long, text string"), models).collect()]
     assert {i for i, lang in got if lang == "und"} == {1, 2, 3, 5, 6} and len(got) == 8
+
+
+def test_base_phrases_after_unicode_line_ends(spark):
+    docs = [(i, f"a{c}b c apache license") for i, c in enumerate("\u0085  \n \x0b")] + [(9, "x mit license " + "y " * 50_000 + "  mit license")]
+    got = {r.doc_id: (r.first_word, r.last_word) for r in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+        at = [k for k in range(len(words)) if words[k : k + 2] in (["apache", "license"], ["mit", "license"])]
+        assert got[i] == (at[0], at[-1])
+
+
+def test_nearest_vectors_of_huge_and_repeated_values(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((60, 8)) * 10.0 ** rng.integers(-3, 26, (60, 1))
+    v[:10] = rng.standard_normal((10, 8)) * 1e25
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5, v[5].tolist()), (5, v[5].tolist())]
+    for some in (rows[:10], rows):
+        index, how = onebit.build_index(spark.createDataFrame(some, "vec_id long, embedding array<double>"))
+        got = {}
+        for r in onebit.search(index, how, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        n = len({i for i, _ in some})
+        for q in range(0, n, 20):
+            score = (v[:n] * v[q]).sum(1)
+            want = [i for i in np.lexsort((np.arange(n), -score)).tolist() if i != q][:20]
+            assert [i for i, _ in got[q]] == want and np.allclose([s for _, s in got[q]], score[want], rtol=1e-12)
