@@ -37,23 +37,34 @@ def rotation(dim: int, seed: int = 1) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows of any finite size."""
+    most = np.maximum(np.abs(x).max(1, initial=0), 1e-300)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+
+
 def encode(vectors: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, length from the mean, and cosine with the code, of each vector."""
     off = vectors - mean
-    length = np.sqrt((off * off).sum(1))
+    length = lengths(off)
     turned = (off / np.maximum(length, 1e-300)[:, None]) @ turn.T
     return np.packbits(turned > 0, axis=1), length, np.maximum(np.abs(turned).sum(1) / np.sqrt(len(turn)), 1e-9)
 
 
 def estimates(queries: np.ndarray, codes: np.ndarray, length: np.ndarray, cosine: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of queries with coded vectors, and the standard deviations of their errors."""
+    """Estimated inner products of queries with coded vectors, and the standard deviations of their errors.
+
+    Both are for queries of length 1, so that they keep their order whatever the lengths; only products of unit
+    vectors are of single precision.
+    """
     dim = len(turn)
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    turned = (queries @ turn.T).astype(np.float32)
-    scale = (length / (cosine * np.sqrt(dim))).astype(np.float32)
-    est = (turned @ signs.T) * scale + (queries @ mean).astype(np.float32)[:, None]
+    unit = queries / lengths(queries)[:, None]
+    est = ((unit @ turn.T).astype(np.float32) @ signs.T).astype(np.float64)
+    est *= length / (cosine * np.sqrt(dim))
+    est += (unit @ mean)[:, None]
     spread = length * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine / np.sqrt(max(1, dim - 1))
-    return est, (np.sqrt((queries * queries).sum(1))[:, None] * spread[None, :]).astype(np.float32)
+    return est, spread
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1) -> tuple[DataFrame, dict]:
@@ -123,9 +134,10 @@ def search_tile(queries: pd.DataFrame, found: pd.DataFrame, how: dict, k: int, e
             row = np.repeat(np.arange(len(q)), first)
             col = np.argpartition(est, len(ids) - first, axis=1)[:, len(ids) - first :].ravel()
             score = _products(q, c, row, col).reshape(len(q), first)
-            floor = np.partition(score, first - k, axis=1)[:, first - k].astype(np.float32) - np.float32(1e-6)
-            est += np.float32(epsilon) * spread
-            row, col = np.nonzero(est >= floor[:, None])
+            floor = np.partition(score, first - k, axis=1)[:, first - k] / lengths(q)
+            slack = 1e-5 * (length + lengths(how["mean"][None, :]))  # of single precision
+            est += epsilon * spread + slack
+            row, col = np.nonzero((est >= floor[:, None]) & (est > -np.inf))
         else:
             row, col = np.nonzero(est > -np.inf)
         score = _products(q, c, row, col)
@@ -143,7 +155,10 @@ def _block(n: int, share: int, bounds: tuple[int, int]) -> int:
 
 
 def search(index: DataFrame, how: dict, is_query: Column, k: int = 20, epsilon: float = EPSILON) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best of all other vectors for each indexed vector that is_query (of `id`) holds for."""
+    """query_id, rank (from 1), vec_id, score: the k best of all other vectors for each indexed vector that is_query (of `id`) holds for.
+
+    Equal scores rank by smaller vec_id. With fewer than k other vectors all are given; an empty index gives no rows.
+    """
     n_query = index.where(is_query).count()
     across, down = _block(how["n"], 6, CANDIDATES), _block(n_query, 6, QUERIES)
     shipped = index.sparkSession.sparkContext.broadcast(how)
