@@ -4,14 +4,14 @@ The examples are a bounded sample of labelled rows (PER_CLASS of each label, the
 terms that depend on the label are the vocabulary; document frequencies are counted over the whole corpus. A query's upper bound for a block
 of examples is the sum of its term weights times the terms' largest weights in that block; blocks are scored
 exactly, best bound first, until no bound exceeds the k-th best cosine. Votes weighted by similarity, corrected for
-how rare the labels are, are mapped to probabilities by a logistic curve fitted to each example's votes from the
-other examples.
+how rare the labels are, are mapped to probabilities by a logistic curve, fitted to each example's votes from the
+other examples and to the share of its words that are terms: one term in a long text tells little.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ CHI_SQUARE = 19.5
 NEIGHBOURS = 15
 BLOCK = 64
 CUT = 0.7
+#: Terms in a thousand words from which a text counts as full of them.
+DENSE = 5
 
 
 def _bags(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +55,7 @@ class Votes:
     label: np.ndarray
     ids: np.ndarray
     share: np.ndarray  # weight of a vote by its label
-    curve: tuple[float, float] = (0.0, 1.0)
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 0.0]))  # of nothing, the vote, and the terms' share
     k: int = NEIGHBOURS
 
     def vectors(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,20 +98,30 @@ class Votes:
         w = sims**2 * self.share[self.label[found]]
         return float(w[self.label[found] == 1].sum() / w.sum()) if len(w) and w.sum() > 0 else 0.0
 
-    def probability(self, vote: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * vote, -30, 30)))
+    def density(self, words: Words) -> np.ndarray:
+        """How many of a thousand words of each document are terms, as a logarithm; 0 for none. Over DENSE, more tell no more."""
+        at = np.minimum(np.searchsorted(self.terms, words.hash), max(0, len(self.terms) - 1))
+        known = self.terms[at] == words.hash if len(self.terms) else np.zeros(len(words.hash), bool)
+        n = np.bincount(words.docs(), known, len(words.counts))
+        return np.log1p(np.minimum(1000 * n / np.maximum(words.counts, 1), DENSE))
+
+    def probability(self, vote: np.ndarray, density: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_inputs(vote, density) @ self.curve, -30, 30)))
+
+
+def _inputs(vote: np.ndarray, density: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones_like(vote), vote, vote * density], 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression of y on x by Newton steps, with a weak pull to 0."""
-    a = np.stack([np.ones_like(x), x], 1)
-    b = np.zeros(2)
+def _logistic(a: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression of y on a by Newton steps, with a weak pull to 0."""
+    b = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        g = a.T @ (w * (y - p)) - 1e-3 * b
-        h = (a * (w * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        g = a.T @ (w * (y - p)) - 1e-2 * b
+        h = (a * (w * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(b))
         b = b + np.linalg.solve(h, g)
-    return float(b[0]), float(b[1])
+    return b
 
 
 def fit_votes(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Votes:
@@ -146,12 +158,16 @@ def fit_votes(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text
                     at = np.minimum(np.searchsorted(shipped.value, words.hash), len(shipped.value) - 1)
                     on = shipped.value[at] == words.hash
                     seen += np.bincount(np.unique(words.docs()[on] * len(seen) + at[on]) % len(seen), minlength=len(seen))
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([seen.tobytes()])], names=["n", "seen"])
+        there = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(seen[there], n))], names=["term", "n"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(counts, "n long, seen binary")
+    found = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(counts, "term long, n long")
     n_docs, df = 0, np.zeros(len(terms), np.int64)
-    for r in found.toLocalIterator():  # one vector per task, summed as they come
-        n_docs, df = n_docs + r["n"], df + np.frombuffer(r["seen"], np.int64)
+    for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row per term at most, and one for all documents
+        if r["term"] < 0:
+            n_docs = r["n"]
+        else:
+            df[r["term"]] = r["n"]
     use = df <= max(1, n_docs) / 2
     terms, df = terms[use], df[use]
     idf = np.log((1 + n_docs) / (1 + df))
@@ -175,7 +191,7 @@ def fit_votes(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text
         votes.share = np.where(here > 1, here.max() / here, 1.0)
         own = np.array([votes.vote(*votes.nearest(term[a:b], w[a:b], i)) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))])
         weights = true[label]
-        votes.curve = _logistic(own, label.astype(float), weights / weights.mean())
+        votes.curve = _logistic(_inputs(own, votes.density(words)), label.astype(float), weights / weights.mean())
     return votes
 
 
@@ -205,8 +221,10 @@ def _from_hashes(rows: list[np.ndarray]) -> Words:
 def score_toxicity(docs: DataFrame, votes: Votes, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of docs with struct column `toxicity`: score, predicted and evidence (ids and cosines of the votes).
 
-    Null and empty texts, and those without a known term, get the score of no votes. Whole texts count. The votes
-    (bounded by the sample) are broadcast; there is no shuffle. A column `toxicity` is replaced.
+    Null and empty texts, and those without a known term, get the score of no votes. Whole texts count. Of examples
+    with equal cosines those of smaller ids vote first; a score equal to the cut is toxic. Equal rows get equal scores,
+    and an empty table gives no rows. The votes (bounded by the sample) are broadcast; there is no shuffle. A column
+    `toxicity` is replaced.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(votes)
     docs = docs.drop("toxicity")
@@ -217,9 +235,10 @@ def score_toxicity(docs: DataFrame, votes: Votes, text_col: str = "text", cut: f
         v = shipped.value
         for batch in batches:
             for part in slices(batch, text_col):
-                edge, term, w = v.vectors(Words(part.column(text_col)))
+                words = Words(part.column(text_col))
+                edge, term, w = v.vectors(words)
                 near = [v.nearest(term[a:b], w[a:b]) if b > a else (np.zeros(0, np.int64), np.zeros(0)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                p = v.probability(np.array([v.vote(*x) for x in near]))
+                p = v.probability(np.array([v.vote(*x) for x in near]), v.density(words))
                 rows = [{"score": float(s), "predicted": int(s >= cut), "evidence": [{"id": str(v.ids[i]), "cosine": float(c)} for i, c in zip(*x, strict=True)]} for s, x in zip(p, near, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind)], names=[*part.schema.names, "toxicity"])
 

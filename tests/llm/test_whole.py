@@ -171,3 +171,23 @@ def test_nearest_vectors_of_huge_and_repeated_values(spark):
             score = (v[:n] * v[q]).sum(1)
             want = [i for i in np.lexsort((np.arange(n), -score)).tolist() if i != q][:20]
             assert [i for i, _ in got[q]] == want and np.allclose([s for _, s in got[q]], score[want], rtol=1e-12)
+
+
+def test_one_harsh_word_in_a_long_text_is_not_toxic(spark):
+    import numpy as np
+    from terraloom.llm import toxicity
+
+    rng = np.random.default_rng(8)
+    bad = ["idiot", "moron", "scum", "trash", "loser"]
+    clean = lambda n: [f"w{int(x)}" for x in rng.zipf(1.4, n) % 5000]
+    docs = []
+    for i in range(600):
+        words = clean(int(rng.integers(20, 300)))
+        if i % 5 == 0:
+            words += [bad[int(x)] for x in rng.integers(0, 5, max(2, len(words) // 40))]
+        docs.append((i, " ".join(rng.permutation(words)), int(i % 5 == 0)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    votes = toxicity.fit_votes(frame.drop("toxic"), frame.select("doc_id", "toxic"))
+    new = [(0, " ".join([*clean(4000), "idiot"]), 0), (1, " ".join([*clean(100), *bad]), 1), (2, " ".join(clean(200)), 0), (3, " ".join([*clean(4000), *(bad * 20)]), 1)]
+    got = toxicity.score_toxicity(spark.createDataFrame(new, "doc_id long, text string, want int"), votes).select("want", "toxicity.predicted", "toxicity.evidence").collect()
+    assert all(r.want == r.predicted for r in got) and all(len(r.evidence) > 0 for r in got if r.want)
