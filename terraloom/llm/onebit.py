@@ -85,11 +85,11 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         total = np.zeros(dim)
         for b in batches:
             total += b.column(0).flatten().to_numpy().reshape(-1, dim).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["s"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(total)], names=["i", "s"])
 
     mean = np.zeros(dim)
-    for r in rows.select("v").mapInArrow(sums, "s binary").toLocalIterator():
-        mean += np.frombuffer(r["s"])
+    for r in rows.select("v").mapInArrow(sums, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # a row per dimension
+        mean[r["i"]] = float(f"{r['s']:.9e}")  # alike in whatever order the tasks' sums come
     how = {"mean": mean / max(1, n), "turn": rotation(dim, seed), "dim": dim, "n": n}
     shipped = vectors.sparkSession.sparkContext.broadcast(how)  # one vector and one rotation
 
