@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .textkit import Words, slices
+from .textkit import Words, batchwise, slices
 
 WINDOW = 10
 #: Bytes of item texts that one pass searches for; more items make more passes, each with bounded memory.
@@ -121,7 +121,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     for block in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block).collect()
         shipped = docs.sparkSession.sparkContext.broadcast([(r.name, r.text) for r in rows])
-        out = out.mapInArrow(_pass(shipped, text_col, window), out.schema)
+        out = out.mapInArrow(batchwise(_pass(shipped, text_col, window)), out.schema)
     return out
 
 
@@ -181,4 +181,4 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **op
             columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(own.get(f.name, f.name)) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return found.mapInArrow(cut, schema)
+    return found.mapInArrow(batchwise(cut), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textkit import ALNUM, Words, _powers, mix64, slices
+from .textkit import ALNUM, Words, _powers, batchwise, mix64, slices
 
 #: Documents of each language that a model is fitted to, about.
 PER_LANG = 250
@@ -28,7 +28,7 @@ SHORT, MEDIUM = 40, 2000
 #: Cells (bytes of the longest word times words) that are scored at once.
 CELLS = 1 << 19
 FLOOR = 1e-6
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Words whose scores a task keeps.
 MOST_REMEMBERED = 500_000
 
@@ -289,4 +289,4 @@ def identify_languages(docs: DataFrame, models: LanguageModels, text_col: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, "language"])
 
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("language struct<lang:string,score:double>").fields])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(batchwise(run), schema)

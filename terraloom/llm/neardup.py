@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import batch_rows, discard, stored
-from .textkit import NONSPACE, Words, mix64, pieces, shingles, slices
+from .textkit import NONSPACE, Words, batchwise, groupwise, mix64, pieces, shingles, slices
 
 SHINGLE, PERCENT = 5, 75
 #: Sets below this size are the first band, of so many chunks; bands above it each span a factor of 4.
@@ -43,7 +43,7 @@ GROUP, BLOCK_BYTES, TILES_BYTES = 1 << 20, 1 << 20, 4 << 20
 #: Bits per node, and most bits, of the filter that picks rows whose sets are fetched; it bounds the broadcast, not the result.
 FILTER_RATIO, FILTER_BITS = 16, 1 << 26
 #: Bytes of texts in a slice, rows of an Arrow batch, nodes that a task remembers so as to enter each once.
-SLICE, BATCH_ROWS, MOST_SEEN = 2 << 20, 2000, 1 << 17
+SLICE, BATCH_ROWS, MOST_SEEN = 1 << 20, 2000, 1 << 17
 #: Bits of the dense sketch that a pair is first compared by.
 SKETCH_BITS = 2048
 
@@ -241,8 +241,8 @@ def _shared_contents(rows: DataFrame, shingle: int, percent: int, parts: int) ->
             out.append(pd.DataFrame({"content": c[on].view(np.int64), "node": node[x[on]], "n": n[x[on]]}))
         return pd.concat(out)
 
-    met = rows.select("text").mapInArrow(enter, "group int, blob binary").groupBy("group").applyInPandas(count_, "home int, own boolean, blob binary")
-    return met.groupBy("home").applyInPandas(first_chunks, "content long, node long, n int")
+    met = rows.select("text").mapInArrow(batchwise(enter), "group int, blob binary").groupBy("group").applyInPandas(groupwise(count_), "home int, own boolean, blob binary")
+    return met.groupBy("home").applyInPandas(groupwise(first_chunks), "content long, node long, n int")
 
 
 def _buckets(shared: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def _with_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                     items[i] = s.h[s.edge[i] : s.edge[i + 1]].tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s.n), pa.array(s.node, mask=s.n == 0), pa.array(items, pa.binary())], names=["id", "n", "node", "items"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, node long, items binary")
+    return rows.mapInArrow(batchwise(run), f"id {rows.schema['id'].dataType.simpleString()}, n long, node long, items binary")
 
 
 def parity_sketch(items: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -368,7 +368,7 @@ def _forest(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         edges = np.concatenate(out)
         return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
-    return _tiles(buckets, sets).groupBy("group").applyInPandas(run, "a long, b long")
+    return _tiles(buckets, sets).groupBy("group").applyInPandas(groupwise(run), "a long, b long")
 
 
 def _counted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -384,7 +384,7 @@ def _counted(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(pd.DataFrame({"node": rows["node"], "links": links}))
         return pd.concat(out)
 
-    return _tiles(members, sets).groupBy("group").applyInPandas(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return _tiles(members, sets).groupBy("group").applyInPandas(groupwise(run), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

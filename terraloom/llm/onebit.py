@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import stored
+from .textkit import batchwise
 
 EPSILON = 2.0
 PAD = 4
@@ -88,7 +89,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(total)], names=["i", "s"])
 
     mean = np.zeros(dim)
-    for r in rows.select("v").mapInArrow(sums, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # a row per dimension
+    for r in rows.select("v").mapInArrow(batchwise(sums), "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # a row per dimension
         mean[r["i"]] = float(f"{r['s']:.9e}")  # alike in whatever order the tasks' sums come
     how = {"mean": mean / max(1, n), "turn": rotation(dim, seed), "dim": dim, "n": n}
     shipped = vectors.sparkSession.sparkContext.broadcast(how)  # one vector and one rotation
@@ -99,7 +100,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
             codes, length, cosine = encode(v, shipped.value["mean"], shipped.value["turn"])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v]), pa.array([x.tobytes() for x in codes]), pa.array(length), pa.array(cosine)], names=["id", "v", "code", "length", "cosine"])
 
-    return stored(rows.mapInArrow(code, "id long, v binary, code binary, length double, cosine double"), "codes"), how
+    return stored(rows.mapInArrow(batchwise(code), "id long, v binary, code binary, length double, cosine double"), "codes"), how
 
 
 def _floats(column: pd.Series, dim: int) -> np.ndarray:

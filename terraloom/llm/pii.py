@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from .boosting import BoostedTrees
 from .shared import stored
-from .textkit import slices
+from .textkit import batchwise, slices
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
@@ -246,7 +246,7 @@ def fit_detector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     draw = lambda *c: F.pmod(F.xxhash64(F.lit("pii"), *c), F.lit(1 << 30)) / float(1 << 30)
     texts = docs.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("seed"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
     texts = texts.where(draw("seed") < min(1.0, most_texts / max(1, texts.count())))
-    made = stored(texts.mapInArrow(make, "seed long, nth long, kind string, yes boolean, x array<double>"), "examples")
+    made = stored(texts.mapInArrow(batchwise(make), "seed long, nth long, kind string, yes boolean, x array<double>"), "examples")
     rows = made.where(draw("seed", "nth") < min(1.0, most / max(1, made.count()))).collect()  # about `most`
     rows.sort(key=lambda r: zlib.crc32(f"{r['seed']}:{r['nth']}".encode()))
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), N_FEATURES)
@@ -292,7 +292,7 @@ def find_pii(docs: DataFrame, detector: Detector, text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([*part.columns, rows], names=[*part.schema.names, "pii"])
 
     one = "array<struct<kind:string,start:long,end:long>>"
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(f"pii struct<base:{one},spans:{one}>").fields]))
+    return docs.mapInArrow(batchwise(run), StructType([*docs.schema.fields, *StructType.fromDDL(f"pii struct<base:{one},spans:{one}>").fields]))
 
 
 def redact(docs: DataFrame, detector: Detector, text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .anchors import Runs
 from .shared import stored
 from .suffixes import neighbour_prefixes, two_stage_order
-from .textkit import pieces, slices, text_buffer
+from .textkit import batchwise, groupwise, pieces, slices, text_buffer
 
 SIZE, GRAM = 200, 64
 SLICE = 1 << 20
@@ -97,8 +97,8 @@ def _first_meeting(rows: DataFrame, parts: int, many: int) -> DataFrame:
         open_ = ~repeated[of_b] & (kinds[of_h] > 1) & new_place
         return pd.concat([_result(0, got, settled), _result(1, got, open_), _result(2, got, new_h & (kinds[of_h] > many))])
 
-    entered = rows.mapInArrow(enter, "group int, blob binary")
-    return entered.groupBy("group").applyInPandas(meet, "kind int, hash long, bytes long, text long, lo long, n int")
+    entered = rows.mapInArrow(batchwise(enter), "group int, blob binary")
+    return entered.groupBy("group").applyInPandas(groupwise(meet), "kind int, hash long, bytes long, text long, lo long, n int")
 
 
 def _packed(columns: list[np.ndarray], multi: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
@@ -193,8 +193,8 @@ def _second_meeting(rows: DataFrame, open_: DataFrame, crowded: DataFrame) -> Da
         f = frame["first"].to_numpy()[owner[a]]
         return pd.DataFrame({"hash": frame["hash"].to_numpy()[owner[a]], "bytes": frame["bytes"].to_numpy()[owner[a]], "first": f + place[a], "last": f + place[b]})
 
-    fetched = rows.mapInArrow(fetch, "group int, hash long, bytes long, first int, body binary")
-    return fetched.groupBy("group").applyInPandas(order, "hash long, bytes long, first long, last long")
+    fetched = rows.mapInArrow(batchwise(fetch), "group int, hash long, bytes long, first int, body binary")
+    return fetched.groupBy("group").applyInPandas(groupwise(order), "hash long, bytes long, first long, last long")
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", many: int = MANY) -> DataFrame:
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["key", "spans", "kept"])
 
     one = "array<struct<lo:long,hi:long>>"
-    cut = texts.select("key", "body", "spans").mapInArrow(keep, f"key long, spans {one}, kept binary")
+    cut = texts.select("key", "body", "spans").mapInArrow(batchwise(keep), f"key long, spans {one}, kept binary")
     out = rows.join(copies.withColumn("copied", F.lit(True)), "key", "left").join(cut, "key", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     copied = F.col("copied").isNotNull()

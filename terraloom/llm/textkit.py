@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -34,6 +38,38 @@ def _powers(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Gives the memory that this Python worker has freed back to the system; the worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
+
+
+def batchwise(run: Callable) -> Callable:
+    """A function over a task's batches that releases memory at the end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def groupwise(run: Callable) -> Callable:
+    """A function over a group that releases memory after it."""
+
+    def wrapped(frame):
+        out = run(frame)
+        release()
+        return out
+
+    return wrapped
+
+
 def pieces(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the stretches of equal keys."""
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -62,7 +98,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Zero-copy pieces of a batch whose texts have about `most` bytes; a longer text is a piece alone."""
     _, offsets = text_buffer(batch.column(column))
     at = 0

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .mph import PerfectHash
 from .shared import new_path, stored
+from .textkit import batchwise, groupwise
 
 MAGIC = b"TLTOKEN1"
 #: Bytes of text that go to one shard, about.
@@ -296,7 +297,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
             row = {"shard": TaskContext.get().partitionId(), "folder": folder, **done, "first_key": ends[0], "last_key": ends[1]}
             yield pa.RecordBatch.from_pylist([row | {k: None if row[k] is None else str(row[k]) for k in ("first_key", "last_key")}], schema=_MANIFEST)
 
-    manifest = rows.drop("nth").mapInArrow(write, "shard int, folder string, file string, n_docs long, n_ids long, first_key string, last_key string")
+    manifest = rows.drop("nth").mapInArrow(batchwise(write), "shard int, folder string, file string, n_docs long, n_ids long, first_key string, last_key string")
     manifest = stored(manifest, "manifest")
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("start", before)
@@ -330,7 +331,7 @@ def read_token_shards(manifest: DataFrame, key_type: str = "long") -> DataFrame:
                     frame = pd.DataFrame(out, columns=["key", "shard", "record", "start", "n_tokens", "ids_crc32"])
                     yield frame.astype({"key": "Int64"}) if key_type == "long" else frame
 
-    return manifest.repartition(n).mapInPandas(read, f"key {key_type}, shard int, record long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n).mapInPandas(batchwise(read), f"key {key_type}, shard int, record long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup_tokens(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -364,5 +365,5 @@ def lookup_tokens(manifest: DataFrame, keys: DataFrame, id_col: str = "doc_id")
                 out.append((k, number, r, start + int(shard.starts[r]), len(ids), zlib.crc32(ids.tobytes()), ids.tolist()))
         return pd.DataFrame(out, columns=["key", "shard", "record", "start", "n_tokens", "ids_crc32", "ids"]).astype({"key": "Int64"})
 
-    routed = wanted.mapInPandas(shard_of, "key long, at int")
-    return routed.groupBy("at").applyInPandas(answer, "key long, shard int, record long, start long, n_tokens long, ids_crc32 long, ids array<long>")
+    routed = wanted.mapInPandas(batchwise(shard_of), "key long, at int")
+    return routed.groupBy("at").applyInPandas(groupwise(answer), "key long, shard int, record long, start long, n_tokens long, ids_crc32 long, ids array<long>")

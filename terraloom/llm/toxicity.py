@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Words, slices
+from .textkit import Words, batchwise, slices
 
 #: Most examples of each label.
 PER_CLASS = 1500
@@ -142,7 +142,7 @@ def fit_votes(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text
                 n = [words.hash[words.first[i] : words.first[i + 1]].tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("__id").cast(pa.string()), part.column("__label"), pa.array([h[edge[i] : edge[i + 1]].tobytes() for i in range(part.num_rows)]), pa.array(n)], names=["id", "label", "terms", "words"])
 
-    got = texts.mapInArrow(bags, "id string, label int, terms binary, words binary").collect()
+    got = texts.mapInArrow(batchwise(bags), "id string, label int, terms binary, words binary").collect()
     kept = {bytes(r["words"]): r for r in sorted(got, key=lambda r: (r["label"], r["id"]))}  # a text counts once
     rows = sorted(kept.values(), key=lambda r: (r["id"], r["label"]))
     terms = _telling_terms([np.frombuffer(r["terms"], np.uint64) for r in rows], np.array([r["label"] for r in rows], bool))
@@ -161,7 +161,7 @@ def fit_votes(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(seen[there], n))], names=["term", "n"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(counts, "term long, n long")
+    found = docs.select(F.col(text_col).cast("string").alias("__text")).mapInArrow(batchwise(counts), "term long, n long")
     n_docs, df = 0, np.zeros(len(terms), np.int64)
     for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row per term at most, and one for all documents
         if r["term"] < 0:
@@ -245,7 +245,7 @@ def score_toxicity(docs: DataFrame, votes: Votes, text_col: str = "text", cut: f
     from pyspark.sql.types import StructType
 
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(found).fields])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(batchwise(run), schema)
 
 
 def fold(id_col: str, parts: int):
