@@ -26,14 +26,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .mph import PerfectHash
-from .shared import new_path, stored
+from .shared import batch_rows, new_path, stored
 from .textkit import batchwise, groupwise
 
 MAGIC = b"TLTOKEN1"
 #: Bytes of text that go to one shard, about.
 SHARD_BYTES = 32 << 20
 #: Words that a task remembers with their ids (some 150 bytes each); beyond it, all are dropped.
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 
 _TURN = re.compile(r"(?<=\S)(?= )")
 #: A space after a white-space character: such texts can't be cut at every space.
@@ -42,6 +42,8 @@ _RUNS = [c + " " for c in map(chr, range(0x3001)) if c.isspace()]
 _BARE = "\ud800"
 
 
+#: Rows of an Arrow batch while shards are written.
+BATCH_ROWS = 2000
 #: How a byte-level vocabulary shows a space.
 SPACE = "\u0120"
 
@@ -284,8 +286,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
 
         def encoded():
             for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    keys, texts = batch.column(0)[lo : lo + 500].to_pylist(), batch.column(1)[lo : lo + 500].to_pylist()
+                for lo in range(0, batch.num_rows, 250):
+                    keys, texts = batch.column(0)[lo : lo + 250].to_pylist(), batch.column(1)[lo : lo + 250].to_pylist()
                     ends[:] = [ends[0] if ends else keys[0], keys[-1]]
                     yield keys, *coder.encode(texts, end_id)
 
@@ -298,7 +300,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_pylist([row | {k: None if row[k] is None else str(row[k]) for k in ("first_key", "last_key")}], schema=_MANIFEST)
 
     manifest = rows.drop("nth").mapInArrow(batchwise(write), "shard int, folder string, file string, n_docs long, n_ids long, first_key string, last_key string")
-    manifest = stored(manifest, "manifest")
+    with batch_rows(spark, BATCH_ROWS):
+        manifest = stored(manifest, "manifest")
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("start", before)
 
