@@ -17,7 +17,7 @@ WINDOW = 10
 #: Bytes of item texts that one pass searches for; more items make more passes, each with bounded memory.
 PASS_BYTES = 4 << 20
 #: Bytes of texts under one index.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 class Windows:

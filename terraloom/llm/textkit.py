@@ -40,6 +40,7 @@ def _powers(kind: str, n: int) -> np.ndarray:
 
 def release() -> None:
     """Gives the memory that this Python worker has freed back to the system; the worker goes on to other tasks."""
+    _POWERS.update({kind: p[:1].copy() for kind, p in _POWERS.items()})
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
     if trim:

@@ -68,8 +68,6 @@ class Encoder:
     kept without the space that leads them.
     """
 
-    kept: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         import os
 
@@ -84,12 +82,6 @@ class Encoder:
         self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
         self.clear()
 
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
-
     def clear(self) -> None:
         """Forgets all pieces."""
         self.pieces = _Numbered()
@@ -281,7 +273,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = Encoder.of(tokenizer)
+        coder = Encoder(tokenizer)
         ends: list = []
 
         def encoded():
@@ -291,10 +283,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
                     ends[:] = [ends[0] if ends else keys[0], keys[-1]]
                     yield keys, *coder.encode(texts, end_id)
 
-        try:
-            done = write_shard(folder, encoded(), coder.dtype)
-        finally:
-            coder.clear()  # the worker may go on to other stages
+        done = write_shard(folder, encoded(), coder.dtype)
         if done["n_docs"]:
             row = {"shard": TaskContext.get().partitionId(), "folder": folder, **done, "first_key": ends[0], "last_key": ends[1]}
             yield pa.RecordBatch.from_pylist([row | {k: None if row[k] is None else str(row[k]) for k in ("first_key", "last_key")}], schema=_MANIFEST)
