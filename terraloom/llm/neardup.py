@@ -40,6 +40,8 @@ OFTEN = 8
 LARGE = 16
 #: Chunks that meet in one group, and bytes of sets in a block of a bucket and in a group of tiles, about.
 GROUP, BLOCK_BYTES, TILES_BYTES = 1 << 20, 1 << 20, 4 << 20
+#: Rows of tiles (some 60 bytes each) that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 #: Bits per node, and most bits, of the filter that picks rows whose sets are fetched; it bounds the broadcast, not the result.
 FILTER_RATIO, FILTER_BITS = 16, 1 << 26
 #: Bytes of texts in a slice, rows of an Arrow batch, nodes that a task remembers so as to enter each once.
@@ -332,16 +334,18 @@ class Tile:
 def _tiles(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """(group, bucket, i, j, other, node, ..., items): every node of a bucket in each tile of its block with another, or with itself (i = j).
 
-    Tiles are dealt before the sets join them, so a set is shuffled once and then once for each of its tiles.
+    Tiles are dealt before the sets join them, so a set is shuffled once (not at all while the tiles' rows are few
+    enough to be broadcast) and then once for each of its tiles.
     """
     blocks = buckets.groupBy("bucket").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"), F.sum("n").alias("sum"), F.count("*").alias("__m")).where("__m > 1")
-    blocks = stored(blocks.select("bucket", "blocks", "sum"), "blocks")
-    total = blocks.agg(F.sum(F.col("sum") * F.col("blocks"))).first()[0] or 0
-    groups = max(1, math.ceil(8 * total / TILES_BYTES))
-    rows = buckets.drop("n").join(blocks.drop("sum"), "bucket")
+    blocks = stored(blocks, "blocks")
+    total, n_rows = blocks.agg(F.sum(F.col("sum") * F.col("blocks")), F.sum(F.col("__m") * F.col("blocks"))).first()
+    groups = max(1, math.ceil(8 * (total or 0) / TILES_BYTES))
+    rows = buckets.drop("n").join(blocks.select("bucket", "blocks"), "bucket")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).withColumn("other", F.col("own") > F.col("with"))
-    return rows.withColumn("group", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups))).drop("blocks", "own", "with").join(sets, "node")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups))).drop("blocks", "own", "with")
+    return sets.join(F.broadcast(rows) if (n_rows or 0) <= MOST_BROADCAST else rows, "node")
 
 
 def _compared(frame: pd.DataFrame, percent: int) -> Iterator[tuple[pd.DataFrame, Iterator[tuple[int, np.ndarray]]]]:
@@ -413,8 +417,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         whole = copies.groupBy("bucket").agg(F.min("least").alias("least"), F.sum("copies").alias("n_rows"))
         members = copies.drop("least", "n").join(whole, "bucket").join(counted, "node", "left")
         members = stored(members.select("node", "least", "n_rows", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "members")
-    discard(shared, buckets, sets, links, labels, copies)
-    out = found.select("id", "n", "node").join(members, "node", "left")
+        nodes = stored(found.select("id", "n", "node"), "nodes")
+    discard(shared, buckets, found, sets, links, labels, copies)
+    out = nodes.join(members, "node", "left")
     alone = F.col("n_rows").isNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n_rows", F.lit(1)).alias("n_rows"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
