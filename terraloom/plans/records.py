@@ -56,10 +56,10 @@ def _(t):
     return t.peers.agg(r6(F.avg("score")).alias("mean"), F.max("score").alias("most"), F.count_distinct("country").alias("n"))
 
 
-@query("a16_peer_set_median", "SELECT n_regionkey, round(median(base), 6) AS middle, count(*) AS n FROM (SELECT n_regionkey, country, avg(score) AS base FROM peers JOIN nation ON country = n_name WHERE peer_id % 4 = 0 GROUP BY n_regionkey, country) GROUP BY n_regionkey HAVING count(*) >= 2")
+@query("a16_peer_set_median", "SELECT n_regionkey, round(median(base), 6) AS middle, count(*) AS n FROM (SELECT n_regionkey, country, avg(score) AS base FROM peers JOIN nation ON country = n_name GROUP BY n_regionkey, country) GROUP BY n_regionkey HAVING count(*) >= 2")
 def _(t):
     home = t.nation.select(F.col("n_name").alias("country"), "n_regionkey")
-    base = t.peers.where("peer_id % 4 = 0").join(home, "country").groupBy("n_regionkey", "country").agg(F.avg("score").alias("base"))
+    base = t.peers.join(home, "country").groupBy("n_regionkey", "country").agg(F.avg("score").alias("base"))
     return base.groupBy("n_regionkey").agg(r6(F.median("base")).alias("middle"), F.count("*").alias("n")).where("n >= 2")
 
 
@@ -84,17 +84,19 @@ def _(t):
     return rows.groupBy(F.col("c_nationkey").alias("iso")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("in_force"), F.count("*").alias("n"))
 
 
-@query("j21_records_by_tokens", "WITH k AS (SELECT p_partkey AS company, string_split(p_name, ' ') AS tokens FROM part WHERE p_partkey < 40), r AS (SELECT p_partkey AS record, string_split(concat(p_name, ' ', lower(p_type)), ' ') AS words FROM part WHERE p_partkey % 7 = 0) SELECT company, count(*) AS n, min(record) AS first_record FROM k, r WHERE len(list_filter(tokens, lambda w: NOT list_contains(words, w))) = 0 GROUP BY company")
+@query("j21_records_by_tokens", "WITH k AS (SELECT p_partkey AS company, string_split(p_name, ' ') AS tokens FROM part), r AS (SELECT p_partkey AS record, string_split(concat(p_name, ' ', lower(p_type)), ' ') AS words FROM part) SELECT company, count(*) AS n, min(record) AS first_record FROM k, r WHERE len(list_filter(tokens, lambda w: NOT list_contains(words, w))) = 0 GROUP BY company")
 def _(t):
-    """Companies by their rarest token meet the records that have it; all tokens are then verified."""
-    companies = t.part.where("p_partkey < 40").select(F.col("p_partkey").alias("company"), F.split("p_name", " ").alias("tokens"))
-    records = t.part.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("record"), F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ").alias("words"))
-    index = records.select("record", "words", F.explode(F.array_distinct("words")).alias("token"))
-    often = index.groupBy("token").agg(F.count("*").alias("n_records"))
-    rare = companies.select("company", "tokens", F.explode(F.array_distinct("tokens")).alias("token")).join(often, "token", "left")
-    rare = ranking.first_per_key(rare, ["company"], F.coalesce("n_records", F.lit(0)), F.col("token"))
+    """Names of equal tokens are matched once, by their rarest token, with records of equal words; all tokens are then verified."""
+    companies = t.part.select(F.col("p_partkey").alias("company"), F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("tokens"))
+    words = F.array_sort(F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")))
+    records = t.part.groupBy(words.alias("words")).agg(F.count("*").alias("n_records"), F.min("p_partkey").alias("least"))
+    index = records.select("words", "n_records", "least", F.explode("words").alias("token"))
+    often = index.groupBy("token").agg(F.count("*").alias("n_sets"))
+    rare = companies.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(often, "token", "left")
+    rare = ranking.first_per_key(rare, ["tokens"], F.coalesce("n_sets", F.lit(0)), F.col("token"))
     hits = rare.join(index, "token").where(F.size(F.array_except("tokens", "words")) == 0)
-    return hits.groupBy("company").agg(F.count("*").alias("n"), F.min("record").alias("first_record"))
+    found = hits.groupBy("tokens").agg(F.sum("n_records").alias("n"), F.min("least").alias("first_record"))
+    return companies.join(found, "tokens").select("company", "n", "first_record")
 
 
 @query("j17_token_overlap", "WITH a AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS x FROM part), b AS (SELECT p_partkey + 1 AS p_partkey, list_distinct(string_split(p_name, ' ')) AS y FROM part) SELECT a.p_partkey, round((len(list_intersect(x, y)) / len(x)::DOUBLE + len(list_intersect(x, y)) / len(y)::DOUBLE) / 2, 6) AS overlap FROM a JOIN b ON a.p_partkey = b.p_partkey WHERE len(list_intersect(x, y)) / len(x)::DOUBLE >= 0.5 AND len(list_intersect(x, y)) / len(y)::DOUBLE >= 0.5")

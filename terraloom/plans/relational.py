@@ -78,9 +78,13 @@ def _(t):
 
 @query("f07_exact_then_prefix", "SELECT asked, p_name, p_partkey FROM (SELECT a.p_name AS asked, b.p_name, b.p_partkey, row_number() OVER (PARTITION BY a.p_name ORDER BY CASE WHEN a.p_name = b.p_name THEN 0 ELSE 1 END, length(b.p_name), b.p_name, b.p_partkey) AS n FROM (SELECT DISTINCT p_name FROM part) a JOIN part b ON substr(a.p_name, 1, 5) = substr(b.p_name, 1, 5)) WHERE n = 1")
 def _(t):
-    asked = t.part.select(F.col("p_name").alias("asked"), F.substring("p_name", 1, 5).alias("head")).distinct()
-    both = asked.join(t.part.withColumn("head", F.substring("p_name", 1, 5)), "head")
-    return ranking.first_per_key(both, ["asked"], F.when(F.col("asked") == F.col("p_name"), 0).otherwise(1), F.length("p_name"), F.col("p_name"), F.col("p_partkey")).select("asked", "p_name", "p_partkey")
+    """One best row per prefix and one per exact name, so no pair of names meets."""
+    parts = t.part.where("p_name is not null").select("p_name", "p_partkey", F.substring("p_name", 1, 5).alias("head"))
+    asked = parts.select(F.col("p_name").alias("asked"), "head").distinct()
+    exact = parts.groupBy(F.col("p_name").alias("asked")).agg(F.min("p_partkey").alias("exact"))
+    near = parts.groupBy("head").agg(F.min(F.struct(F.length("p_name").alias("n"), "p_name", "p_partkey")).alias("near"))
+    rows = asked.join(exact, "asked", "left").join(near, "head")
+    return rows.select("asked", F.when(F.col("exact").isNotNull(), F.col("asked")).otherwise(F.col("near.p_name")).alias("p_name"), F.coalesce("exact", "near.p_partkey").alias("p_partkey"))
 
 
 @query("f13_leakage_guard", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%license%' OR lower(text) LIKE '%password%' OR lower(text) LIKE '%token = %'")
@@ -144,9 +148,9 @@ def _(t):
     return rows.groupBy("company", "source_tag").agg(F.count("*").alias("n"), F.count("n_chars").alias("with_text"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
 
 
-@query("j09_fallback_chain", "WITH exact AS (SELECT country, avg(score) AS base FROM peers WHERE peer_id % 3 = 0 AND country <> 'NATION_4' GROUP BY country), region_mean AS (SELECT n_regionkey, avg(score) AS base FROM peers JOIN nation ON country = n_name GROUP BY n_regionkey), everything AS (SELECT avg(score) AS base FROM peers) SELECT company, round(coalesce(e.base, r.base, g.base), 6) AS base, CASE WHEN e.base IS NOT NULL THEN 'exact' WHEN r.base IS NOT NULL THEN 'parent' ELSE 'global' END AS how FROM companies c JOIN nation n ON c.country = n.n_name LEFT JOIN exact e ON e.country = c.country LEFT JOIN region_mean r ON r.n_regionkey = n.n_regionkey, everything g")
+@query("j09_fallback_chain", "WITH exact AS (SELECT country, avg(score) AS base FROM peers WHERE country <> 'NATION_4' GROUP BY country), region_mean AS (SELECT n_regionkey, avg(score) AS base FROM peers JOIN nation ON country = n_name GROUP BY n_regionkey), everything AS (SELECT avg(score) AS base FROM peers) SELECT company, round(coalesce(e.base, r.base, g.base), 6) AS base, CASE WHEN e.base IS NOT NULL THEN 'exact' WHEN r.base IS NOT NULL THEN 'parent' ELSE 'global' END AS how FROM companies c JOIN nation n ON c.country = n.n_name LEFT JOIN exact e ON e.country = c.country LEFT JOIN region_mean r ON r.n_regionkey = n.n_regionkey, everything g")
 def _(t):
-    exact = t.peers.where("peer_id % 3 = 0 and country <> 'NATION_4'").groupBy("country").agg(F.avg("score").alias("exact"))
+    exact = t.peers.where("country <> 'NATION_4'").groupBy("country").agg(F.avg("score").alias("exact"))
     home = t.nation.select(F.col("n_name").alias("country"), "n_regionkey")
     parent = t.peers.join(home, "country").groupBy("n_regionkey").agg(F.avg("score").alias("parent"))
     everything = t.peers.agg(F.avg("score").alias("everything"))  # one row
@@ -168,10 +172,10 @@ def _(t):
     return t.peers.select("peer_id", F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col("sector")].alias("label"))
 
 
-@query("j20_id_then_name", "SELECT o_orderkey, coalesce(a.c_name, b.c_name) AS found, CASE WHEN a.c_name IS NOT NULL THEN 'id' WHEN b.c_name IS NOT NULL THEN 'name' ELSE 'none' END AS how FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey AND a.c_custkey % 2 = 0 LEFT JOIN customer b ON b.c_name = concat('Customer#', lpad(CAST(o_custkey AS string), 9, '0')) AND b.c_custkey % 3 = 0")
+@query("j20_id_then_name", "SELECT o_orderkey, coalesce(a.c_name, b.c_name) AS found, CASE WHEN a.c_name IS NOT NULL THEN 'id' WHEN b.c_name IS NOT NULL THEN 'name' ELSE 'none' END AS how FROM orders LEFT JOIN customer a ON o_custkey = a.c_custkey AND a.c_mktsegment <> 'BUILDING' LEFT JOIN customer b ON b.c_name = concat('Customer#', lpad(CAST(o_custkey AS string), 9, '0')) AND b.c_acctbal >= 0")
 def _(t):
-    a = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("by_id"))
-    b = t.customer.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"), F.col("c_name").alias("by_name"))
+    a = t.customer.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("by_id"))
+    b = t.customer.where("c_acctbal >= 0").select(F.col("c_name").alias("name"), F.col("c_name").alias("by_name"))
     rows = t.orders.withColumn("name", F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).join(a, "o_custkey", "left").join(b, "name", "left")
     how = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_name").isNotNull(), "name").otherwise("none")
     return rows.select("o_orderkey", F.coalesce("by_id", "by_name").alias("found"), how.alias("how"))

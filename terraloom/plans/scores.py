@@ -77,9 +77,9 @@ def _(t):
     return out.select("company", "pillar", r6("s").alias("severity"), r6(scoring.overlay(F.col("s"))).alias("points"))
 
 
-@query("c07_ladder_blend", _SCORED + "SELECT company, pillar, round(greatest(0, least(100, 50 + w * term + (1 - w) * coalesce(15 * (prior - 50) / 50, 0))), 6) AS score, rung FROM (SELECT t.company, t.pillar, term, i.p AS i, c.p AS c, coalesce(i.p, c.p) AS prior, CASE WHEN coalesce(i.p, c.p) IS NULL THEN 1 ELSE mass / (mass + 2.5) END AS w, CASE WHEN i.p IS NOT NULL THEN 'industry' WHEN c.p IS NOT NULL THEN 'country' ELSE 'none' END AS rung FROM termed t JOIN companies k USING (company) LEFT JOIN (SELECT market_id, 50 + avg(revenue) / 1000 AS p FROM companies WHERE market_id % 3 = 0 GROUP BY market_id) i USING (market_id) LEFT JOIN (SELECT country, avg(score) / 100 AS p FROM peers WHERE sector = 'BUILDING' GROUP BY country) c ON c.country = k.country)")
+@query("c07_ladder_blend", _SCORED + "SELECT company, pillar, round(greatest(0, least(100, 50 + w * term + (1 - w) * coalesce(15 * (prior - 50) / 50, 0))), 6) AS score, rung FROM (SELECT t.company, t.pillar, term, i.p AS i, c.p AS c, coalesce(i.p, c.p) AS prior, CASE WHEN coalesce(i.p, c.p) IS NULL THEN 1 ELSE mass / (mass + 2.5) END AS w, CASE WHEN i.p IS NOT NULL THEN 'industry' WHEN c.p IS NOT NULL THEN 'country' ELSE 'none' END AS rung FROM termed t JOIN companies k USING (company) LEFT JOIN (SELECT market_id, 50 + avg(revenue) / 1000 AS p FROM companies GROUP BY market_id HAVING avg(revenue) > 4500) i USING (market_id) LEFT JOIN (SELECT country, avg(score) / 100 AS p FROM peers WHERE sector = 'BUILDING' GROUP BY country) c ON c.country = k.country)")
 def _(t):
-    industry = t.companies.where("market_id % 3 = 0").groupBy("market_id").agg((50 + F.avg("revenue") / 1000).alias("i"))
+    industry = t.companies.groupBy("market_id").agg(F.avg("revenue").alias("mean")).where("mean > 4500").select("market_id", (50 + F.col("mean") / 1000).alias("i"))
     country = t.peers.where("sector = 'BUILDING'").groupBy("country").agg((F.avg("score") / 100).alias("c"))
     rows = _reduced(t).withColumnRenamed("score", "own").join(t.companies, "company").join(industry, "market_id", "left").join(country, "country", "left")
     rung = F.when(F.col("i").isNotNull(), "industry").when(F.col("c").isNotNull(), "country").otherwise("none")
@@ -110,11 +110,11 @@ def _(t):
     return out.select("company", "pillar", "n", (F.col("n") == 0).alias("thin"))
 
 
-@query("x41_freshness", "SELECT seq, round(CASE WHEN reported IS NULL THEN 0.6 ELSE greatest(0.5, exp(-greatest(0, date_diff('day', reported::DATE, DATE '2002-01-01')) / 365.0)) END, 6) AS fresh FROM claims WHERE seq % 7 = 0")
+@query("x41_freshness", "SELECT seq, round(CASE WHEN reported IS NULL THEN 0.6 ELSE greatest(0.5, exp(-greatest(0, date_diff('day', reported::DATE, DATE '2002-01-01')) / 365.0)) END, 6) AS fresh FROM claims")
 def _(t):
     from ..functions.text import freshness
 
-    return t.claims.where("seq % 7 = 0").select("seq", r6(freshness(F.to_date("reported"), F.lit("2002-01-01").cast("date"))).alias("fresh"))
+    return t.claims.select("seq", r6(freshness(F.to_date("reported"), F.lit("2002-01-01").cast("date"))).alias("fresh"))
 
 
 @query("m15_coerced_claims", "SELECT event_id, CASE WHEN k IN (-1, 0, 1) THEN k ELSE 0 END AS polarity, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(value / 300, 0.5))) AS strength, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce((props->>'$.k')::DOUBLE / 90, 0.4))) AS confidence FROM (SELECT *, CAST(event_id % 5 - 2 AS int) AS k FROM events)")
@@ -142,13 +142,13 @@ def _(t):
     return C.gated(_votes(t).withColumn("gate_fired", F.col("mass") < 2.5)).select("company", "pillar", "mode", "needs_review")
 
 
-@query("a28_majority_vote", """WITH v AS (SELECT user_id AS claim, event_id AS seq, CASE event_type WHEN 'error' THEN 'refute' WHEN 'click' THEN 'pass' WHEN 'purchase' THEN 'refute' ELSE 'abstain' END AS verdict, concat('f', CAST(event_id % 3 AS string)) AS flagged FROM events WHERE event_id % 40 = 0),
+@query("a28_majority_vote", """WITH v AS (SELECT user_id AS claim, event_id AS seq, CASE event_type WHEN 'error' THEN 'refute' WHEN 'click' THEN 'pass' WHEN 'purchase' THEN 'refute' ELSE 'abstain' END AS verdict, concat('f', CAST(event_id % 3 AS string)) AS flagged FROM events),
 c AS (SELECT claim, flagged FROM (SELECT claim, flagged, count(*) AS n, min(seq) AS seq FROM v WHERE verdict = 'refute' GROUP BY claim, flagged HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY claim ORDER BY seq) = 1),
 b AS (SELECT claim, count(*) FILTER (verdict = 'refute') AS n_refute, count(*) FILTER (verdict <> 'abstain') AS n_answer FROM v GROUP BY claim)
 SELECT claim, n_refute, n_answer, CASE WHEN n_answer < 2 THEN 'inconclusive' WHEN n_refute >= 2 THEN 'refuted' ELSE 'pass' END AS outcome, flagged AS converged FROM b LEFT JOIN c USING (claim)""")
 def _(t):
     verdict = F.when(F.col("event_type").isin("error", "purchase"), "refute").when(F.col("event_type") == "click", "pass").otherwise("abstain")
-    rows = t.events.where("event_id % 40 = 0").select(F.col("user_id").alias("claim"), F.col("event_id").alias("seq"), verdict.alias("verdict"), F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")).alias("flagged"))
+    rows = t.events.select(F.col("user_id").alias("claim"), F.col("event_id").alias("seq"), verdict.alias("verdict"), F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")).alias("flagged"))
     return C.majority(rows, ["claim"])
 
 
