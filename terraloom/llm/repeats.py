@@ -4,7 +4,8 @@ Every window of SIZE bytes picks an anchor in itself by content, equal windows t
 under the anchor's hash. Neighbouring windows with one anchor are a run, and runs of equal bytes repeat as a whole.
 Only anchors with runs of different bytes need more: the bytes of such runs meet, their suffixes are put in order by
 two-stage sorting, and a window whose neighbour has SIZE common bytes repeats. An anchor under which very many
-different runs stand is split by the bytes that all windows of a narrow range of places share.
+different runs stand is split by the bytes that all windows of a narrow range of places share; where that could still
+leave too much in one place, each window meets its equals by its own hash, in counts that Spark adds up.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SLICE = 1 << 20
 GROUP, ARRAY_BYTES = 1 << 18, 1 << 20
 #: An anchor with more different runs than this is split by place.
 MANY = 500
+#: Windows of an anchor with more different runs than this meet one by one, not in suffix arrays.
+HOT = 4000
 #: Places of windows in an anchor's range that stay together when it is split.
 RANGE = 24
 FILTER_RATIO, FILTER_BITS = 16, 1 << 26
@@ -58,8 +61,8 @@ def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Runs, np.nda
                 yield Runs(*text_buffer(part.column("text")), SIZE, GRAM), part.column("key").to_numpy()
 
 
-def _first_meeting(rows: DataFrame, parts: int, many: int) -> DataFrame:
-    """(kind, hash, bytes, text, lo, n): kind 0 are repeated runs, 1 runs to compare by bytes, 2 crowded anchors."""
+def _first_meeting(rows: DataFrame, parts: int, many: int, hot: int) -> DataFrame:
+    """(kind, hash, bytes, text, lo, n): kind 0 are repeated runs, 1 runs to compare by bytes, 2 crowded and 3 hot anchors."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs, keys in _own_texts(batches):
@@ -95,7 +98,9 @@ def _first_meeting(rows: DataFrame, parts: int, many: int) -> DataFrame:
         kinds = np.bincount(of_h, new_b)
         settled = repeated[of_b] & new_place
         open_ = ~repeated[of_b] & (kinds[of_h] > 1) & new_place
-        return pd.concat([_result(0, got, settled), _result(1, got, open_), _result(2, got, new_h & (kinds[of_h] > many))])
+        crowd = np.where(kinds > hot, 3, 2)[of_h]
+        on = new_h & (kinds[of_h] > min(many, hot))
+        return pd.concat([_result(0, got, settled), _result(1, got, open_), *(_result(k, got, on & (crowd == k)) for k in (2, 3))])
 
     entered = rows.mapInArrow(batchwise(enter), "group int, blob binary")
     return entered.groupBy("group").applyInPandas(groupwise(meet), "kind int, hash long, bytes long, text long, lo long, n int")
@@ -140,16 +145,16 @@ def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _second_meeting(rows: DataFrame, open_: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(hash, bytes, first, last): windows, by place in their run, of open runs that another run or place has too."""
+def _second_meeting(rows: DataFrame, open_: DataFrame, crowded: DataFrame, hot: DataFrame) -> DataFrame:
+    """(hash, bytes, first, last): windows, by place in their run, of open runs that another run or place has too; hot anchors' runs stay out."""
     spark = rows.sparkSession
-    shipped = spark.sparkContext.broadcast((_filter_of(open_), _filter_of(crowded)))
+    shipped = spark.sparkContext.broadcast((_filter_of(open_), _filter_of(crowded), _filter_of(hot)))
     parts = max(64, math.ceil(open_.count() * (SIZE + SIZE // 2) / ARRAY_BYTES))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, split = shipped.value
+        wanted, split, left_out = shipped.value
         for runs, _ in _own_texts(batches):
-            on = np.flatnonzero(_in_filter(wanted, runs.hash))
+            on = np.flatnonzero(_in_filter(wanted, runs.hash) & ~_in_filter(left_out, runs.hash))
             h, lo, hi, at = runs.hash[on], runs.lo[on], runs.hi[on], runs.at[on]
             key = runs.span_hash(lo, hi - lo + SIZE)
             _, one = np.unique(np.stack([h, key]), axis=1, return_index=True) if len(h) else (None, np.zeros(0, np.int64))
@@ -197,16 +202,39 @@ def _second_meeting(rows: DataFrame, open_: DataFrame, crowded: DataFrame) -> Da
     return fetched.groupBy("group").applyInPandas(groupwise(order), "hash long, bytes long, first long, last long")
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", many: int = MANY) -> DataFrame:
+def _hot_windows(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(hash, bytes, first, last): as of the second meeting, for runs of hot anchors, a row for each repeated window."""
+    shipped = rows.sparkSession.sparkContext.broadcast(_filter_of(hot))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs, _ in _own_texts(batches):
+            on = np.flatnonzero(_in_filter(shipped.value, runs.hash))
+            lo, n = runs.lo[on], runs.hi[on] - runs.lo[on] + 1
+            row = np.repeat(np.arange(len(on)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            columns = [runs.hash[on][row], runs.span_hash(lo, n + SIZE - 1)[row], runs.span_hash(lo[row] + place, np.full(len(row), SIZE))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(place)], names=["hash", "bytes", "window", "first"])
+
+    windows = stored(rows.mapInArrow(batchwise(fetch), "hash long, bytes long, window long, first long"), "windows")
+    where = F.xxhash64("hash", "bytes", "first")
+    twice = windows.groupBy("window").agg(F.min(where).alias("one"), F.max(where).alias("other")).where("one <> other")
+    return windows.join(twice, "window", "left_semi").select("hash", "bytes", "first", F.col("first").alias("last"))
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", many: int = MANY, hot: int = HOT) -> DataFrame:
     """(text, spans) for each distinct text (by hash) with repeated bytes, other than by whole copies: merged spans in bytes, in order."""
     rows = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= SIZE)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(64, math.ceil(total * 2 / (SIZE - GRAM) / GROUP))
-    met = stored(_first_meeting(rows, parts, many), "runs")
+    met = stored(_first_meeting(rows, parts, many, hot), "runs")
     open_ = met.where("kind = 1")
     cover = met.where("kind = 0").select("text", "lo", (F.col("lo") + F.col("n") - 1 + SIZE).alias("hi"))
     if not open_.isEmpty():
-        more = open_.join(_second_meeting(rows, open_, met.where("kind = 2")), ["hash", "bytes"])
+        hottest = met.where("kind = 3")
+        found = _second_meeting(rows, open_, met.where("kind = 2"), hottest)
+        if not hottest.isEmpty():
+            found = found.unionByName(_hot_windows(rows, hottest))
+        more = open_.join(found, ["hash", "bytes"])
         cover = cover.unionByName(more.select("text", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + SIZE).alias("hi")))
 
     # Gaps and islands: a span starts where no earlier one reaches.
@@ -217,7 +245,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", many: int = MANY) ->
     return merged.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY, hot: int = HOT) -> DataFrame:
     """Per row: id, n_bytes, sha256 of the text, spans (removed runs in bytes), kept (the remaining bytes; null where nothing is removed).
 
     Texts are UTF-8 bytes; null and empty ones have none and lose none, and no match crosses texts. Texts of SIZE
@@ -227,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     rows = docs.select("id", F.xxhash64("body").alias("key"), F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha256"))
     copies = stored(rows.where(F.col("n_bytes") >= SIZE).groupBy("key").count().where("count > 1").select("key"), "copies")
-    spans = repeated_spans(docs, "body", many).withColumnRenamed("text", "key")
+    spans = repeated_spans(docs, "body", many, hot).withColumnRenamed("text", "key")
     spans = stored(spans.join(copies, "key", "left_anti"), "spans")
     texts = docs.select(F.xxhash64("body").alias("key"), F.col("body")).join(spans, "key")
 
@@ -247,9 +275,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), "n_bytes", "sha256", F.when(copied, whole).otherwise(F.coalesce("spans", F.array().cast(one))).alias("spans"), F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
 
 
-def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
+def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY, hot: int = HOT) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans and kept_sha256."""
-    found = remove_repeats(docs, id_col, text_col, many)
+    found = remove_repeats(docs, id_col, text_col, many, hot)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
     kept = F.coalesce(F.sha2("kept", 256), F.col("sha256"))
     return found.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), kept.alias("kept_sha256"))

@@ -280,17 +280,26 @@ def brute_repeats(texts, size=200):
         yield len(b), int(gone.sum()), n_spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize("many", [1, 500])
-def test_repeats_match_brute_force(spark, many):
+@pytest.mark.parametrize(("many", "hot"), [(1, 4000), (500, 4000), (1, 2), (500, 1)])
+def test_repeats_match_brute_force(spark, many, hot):
     rng = np.random.default_rng(6)
     junk = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
     p, q, line = junk(230), "né " * 90, junk(150)
     texts = [junk(300) + p + junk(80), p, junk(40) + p[5:], p[:199], q + junk(9), "x" + q, None, "", "a" * 450, junk(500), p, line * 2, *(junk(70) + line + junk(90) for _ in range(6)), junk(60) + p[:120] + junk(60) + p[60:]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit("x"))
-    got = {r.doc_id: tuple(r)[1:] for r in repeats.repeat_digest(df, many=many).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.repeat_digest(df, many=many, hot=hot).collect()}
     assert got == dict(enumerate(brute_repeats(texts)))
 
 
+def test_repeats_of_a_passage_with_different_neighbours(spark):
+    passage = " ".join(f"shared{i}" for i in range(30))
+    texts = [" ".join(f"left{k}x{i}" for i in range(40)) + passage[: 190 + k] + " ".join(f"right{k}y{i}" for i in range(40)) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = dict(enumerate(brute_repeats(texts)))
+    for hot in (10, 4000):
+        assert {r.doc_id: tuple(r)[1:] for r in repeats.repeat_digest(df, many=5, hot=hot).collect()} == want
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs):
     got = [tuple(r)[1:] for r in repeats.repeat_digest(odd_docs.coalesce(1)).collect()]
     assert sorted(got) == sorted(brute_repeats([r.text for r in odd_docs.collect()]))
