@@ -268,12 +268,16 @@ def _buckets(shared: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
+def _filter_size(n: int) -> int:
+    return min(FILTER_BITS, max(1 << 15, 1 << (FILTER_RATIO * n).bit_length()))
+
+
 def _with_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(id, n, node, items) per row: size and hash of its set, and its sorted shingles as bytes in one row of each task that has a wanted node.
 
     node is null for an empty set. Wanted nodes are told by a filter of bounded size, so a few others have items too.
     """
-    size = min(FILTER_BITS, max(1 << 15, 1 << (FILTER_RATIO * wanted.count()).bit_length()))
+    size = _filter_size(wanted.count())
     bit = F.col("node").bitwiseAND(F.lit(size - 1)) + 1
     found = wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # FILTER_BITS at most
     bits = np.zeros(size // 8, np.uint8)
@@ -424,17 +428,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n_rows", F.lit(1)).alias("n_rows"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """docs but for the rows of the ids in gone (__id).
+
+    A filter of FILTER_BITS at most tells rows that surely stay, which aren't shuffled; the rest is joined with the ids.
+    """
+    size = _filter_size(gone.count())
+    place = lambda key: F.xxhash64(key).bitwiseAND(F.lit(size - 1)) + 1
+    bits = gone.groupBy(F.bitmap_bucket_number(place("__id")).alias("__k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("__id"))).alias("__bits"))
+    at = F.bitmap_bit_position(place(id_col))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    marked = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place(id_col)) == F.col("__k"), "left").withColumn("__maybe", maybe).drop("__k", "__bits")
+    rest = marked.where("__maybe").join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    return marked.where("not __maybe").unionByName(rest).drop("__maybe")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each component, the one of the smallest id; all columns are kept.
 
     Texts without words are in no component and stay. Rows of one id are one document: if it stays, its first row
     by text hash does. Rows without an id can't be told apart and stay. An empty table stays empty.
     """
-    found = jaccard_components(docs, id_col, text_col, **options)
-    kept = stored(found.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("__kept")), "kept")
-    named = kept.groupBy("__kept").count()
-    out = docs.join(named.select("__kept"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    if named.where("count > 1 and __kept is not null").isEmpty():
+    found = jaccard_components(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+    stays = F.count_if(F.col(id_col) == F.col("component_id"))
+    ids = stored(found.groupBy(F.col(id_col).alias("__id")).agg(stays.alias("__stays")), "ids")
+    gone = ids.where("__stays = 0").select("__id")
+    out = _without(docs, id_col, gone)
+    if ids.where("__stays > 1").isEmpty():
         return out
     nth = F.row_number().over(W.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(text_col)))
     return out.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
