@@ -6,9 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal-form tokens that are stripped from the tail of a name.
-SUFFIXES = ["inc", "incorporated", "ltd", "limited", "llc", "plc", "corp", "corporation", "co", "company", "gmbh", "ag", "sa", "nv", "bv", "ab", "asa", "oyj", "spa", "srl", "pte", "pty", "llp", "lp", "kk", "se", "holdings", "group"]
+SUFFIXES = [
+    "inc", "incorporated", "corp", "corporation", "ltd", "limited", "llc", "llp", "plc", "co", "company", "group", "holding", "holdings",
+    "sa", "sau", "se", "ag", "gmbh", "bv", "nv", "srl", "spa", "sarl", "sas", "ab", "as", "oy", "kk", "pte", "pty", "pvt", "sdn", "bhd",
+]
 # Words that identify no company.
-STOPWORDS = ["the", "and", "of", "for", "company", "group", "inc", "ltd", "plc", "corp", "limited", "holdings"]
+STOPWORDS = [
+    "the", "and", "for", "of", "a", "an", "inc", "inc.", "ltd", "ltd.", "llc", "l.l.c", "plc", "co", "co.", "corp", "corp.", "corporation",
+    "company", "group", "holdings", "holding", "limited", "international", "global", "worldwide", "enterprises", "sa", "s.a", "ag", "gmbh",
+    "bv", "b.v", "nv", "n.v", "as", "ab", "oy", "spa", "s.p.a", "srl", "s.r.l", "sas", "sarl", "pty", "pte", "kk", "services", "solutions",
+    "systems", "technologies", "technology",
+]
 
 _TAIL = r"(\s+(" + "|".join(SUFFIXES) + r"))+\s*$"
 

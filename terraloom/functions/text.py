@@ -87,3 +87,68 @@ def domain(url: Column) -> Column:
 
 def table_of_contents(text: Column, least: int = 3) -> Column:
     return F.regexp_count(text, F.lit(r"Item\s+[0-9]+[A-Z]?\.[^\n]{0,80}[0-9]+")) >= least
+
+
+MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+
+
+def dates_in(text: Column) -> Column:
+    """All dates of a text as an array: day, month name, year first, then ISO ones; impossible days are left out, null gives null."""
+    named = F.regexp_extract_all(text, F.lit(rf"(?i)\b\d{{1,2}}\s+(?:{MONTHS})\w*\s+\d{{4}}\b"), F.lit(0))
+
+    def as_date(x):
+        month = F.lower(F.regexp_extract(x, r"^\d+\s+([A-Za-z]{3})", 1))
+        number = F.floor((F.instr(F.lit(MONTHS.lower()), month) + 3) / 4).cast("string")
+        day = F.regexp_extract(x, r"^(\d+)", 1)
+        return F.concat_ws("-", F.regexp_extract(x, r"(\d{4})$", 1), F.lpad(number, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+
+    iso = F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0))
+    found = F.concat(F.transform(named, as_date), F.transform(iso, lambda x: x.try_cast("date")))
+    return F.filter(found, lambda d: d.isNotNull() & (F.year(d) > 0))
+
+
+def mail_time(header: Column) -> Column:
+    """Time of a mail date header, its weekday ignored; without a zone it is UTC, and null if it can't be read."""
+    plain = F.trim(F.regexp_replace(header, r"^\s*[A-Za-z]{3},\s*", ""))
+    plain = F.regexp_replace(plain, r"\s*(GMT|UTC|UT|Z)$", " +0000")
+    zoned = F.when(plain.rlike(r"[+-]\d{4}$"), plain).otherwise(F.concat(plain, F.lit(" +0000")))
+    return F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
+def section(text: Column, heading: str, window: int = 2000) -> Column:
+    """What follows the last match of a heading, cut at the next numbered item unless that is within 100 characters; null without any."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    head = rf"(?is)^.*(?:{heading})"
+    body = strip(F.substring(F.regexp_replace(text, head, ""), 1, window))
+    before = F.regexp_extract(body, r"(?s)^(.*?)Item\s*\d+[A-Z]?\.", 1)
+    return F.when(text.rlike(head), F.nullif(strip(F.when(F.length(before) > 100, before).otherwise(body)), F.lit("")))
+
+
+def marked_urls(text: Column) -> Column:
+    """Addresses that stand in angle brackets, each once, in the order met."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"<(https?://[^>\s]+)>"), F.lit(1)))
+
+
+def without_urls(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(https?://[^>\s]+)>", "")
+
+
+def segments(text: Column) -> Column:
+    """Pieces that end in a closing bracket followed by white space, trimmed, without empty ones."""
+    pieces = F.transform(F.split(text, r"(?<=>)\s+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(pieces, lambda x: x != "")
+
+
+def is_navigation(text: Column) -> Column:
+    """Six lines or more, of which 30 % (and four) end in a bare number and 70 % are short: a table of contents."""
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    n = F.size(lines)
+    ending = F.size(F.filter(lines, lambda x: x.rlike(r"\s\d{1,3}$")))
+    short = F.size(F.filter(lines, lambda x: F.length(x) < 60))
+    return (n >= 6) & (ending >= F.greatest(F.lit(4.0), n * 0.3)) & (short >= n * 0.7)
+
+
+def off_topic(text: Column, terms: list[str]) -> Column:
+    """A text that has none of the terms as words; missing and empty texts can't be judged and aren't off topic."""
+    said = text.rlike(r"(?i)(^|[^a-z0-9_])(?:" + "|".join(terms) + r")([^a-z0-9_]|$)")
+    return F.coalesce(~said & (text != ""), F.lit(False))

@@ -89,3 +89,25 @@ def normalised_indicators(values: DataFrame, entity: str, indicator: str, value:
     low, high = F.min(value).over(by), F.max(value).over(by)
     share = F.when(low == high, 50.0).otherwise(100 * (F.col(value) - low) / (high - low))
     return values.withColumn("norm", F.when(F.col(indicator).isin(falling) & (low != high), 100 - share).otherwise(share))
+
+
+def contributions(best: DataFrame) -> DataFrame:
+    """delta, confidence and points of the best claim of each factor.
+
+    Needs weight, full_value, none_value, banded, per_revenue, tracked, revenue, country_total and fresh beside the claim.
+    A banded factor is placed between full_value and none_value, per unit of revenue where that is asked for. Without
+    revenue a tracked factor from a dataset is placed by its share of country_total, and any other claim falls back on
+    polarity times strength at half the confidence. Without a value, and for other factors, polarity times strength
+    counts. Only extracted claims of factors without a band lose confidence with age, and those of reports never do.
+    """
+    said, value = F.col("polarity") * F.col("strength"), F.col("value")
+    has_revenue = F.coalesce(F.col("revenue") > 0, F.lit(False))
+    missing = F.col("banded") & F.col("per_revenue") & ~has_revenue & value.isNotNull()
+    shared = missing & F.col("tracked") & (F.col("method") == "dataset_lookup") & F.coalesce(F.col("country_total") > 0, F.lit(False))
+    placed = F.when(F.col("per_revenue"), value / F.col("revenue")).otherwise(value)
+    delta = F.when(shared, 1 - 2 * scoring.clamp(value / F.col("country_total"), 0.0, 1.0)).when(missing | ~F.col("banded") | value.isNull(), said)
+    delta = delta.otherwise(scoring.band_delta(placed, F.col("full_value"), F.col("none_value")))
+    aged = ~F.col("banded") & (F.col("method") == "extracted") & ~F.coalesce(F.col("source_tag").startswith("report_pdf"), F.lit(False))
+    confidence = F.col("confidence") * F.when(missing & ~shared, 0.5).otherwise(1.0) * F.when(aged, F.col("fresh")).otherwise(1.0)
+    out = best.withColumn("delta", delta).withColumn("confidence", confidence)
+    return out.withColumn("points", F.col("weight") * F.col("confidence") * F.col("delta"))

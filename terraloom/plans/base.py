@@ -44,6 +44,14 @@ SELECT c_nationkey AS iso, concat('i', CAST(o_orderkey % 12 AS string)) AS indic
 SELECT concat('c', CAST(c_custkey AS string)) AS company, CASE CAST(c_custkey % 3 AS int) WHEN 0 THEN 'E' WHEN 1 THEN 'S' ELSE 'G' END AS pillar,
   CAST(c_custkey * 7 % 101 AS double) AS predicted, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE floor(c_acctbal / 100) END AS truth,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey * 13 % 97 AS double) END AS holistic, CAST(c_custkey % 21 AS double) AS mass, c_custkey % 4 AS n_claims FROM customer""",
+    "calculator": """
+SELECT c_custkey AS company_id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_nationkey * 3 + 10 AS double) END AS country_score,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(length(c_mktsegment) * 7 AS double) END AS industry_score, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 900 AS double) END AS diesel,
+  CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE CAST(c_custkey % 500 AS double) END AS petrol, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE CAST(c_custkey % 4000 AS double) END AS kwh,
+  CAST(1 + c_nationkey % 5 AS double) / 8 AS grid, CASE WHEN c_acctbal > 0 THEN c_acctbal * 10 END AS revenue,
+  CASE CAST(c_custkey % 4 AS int) WHEN 0 THEN 'none' WHEN 1 THEN 'some' WHEN 2 THEN 'mostly' END AS tier, c_custkey % 40 AS staff, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey % 25 END AS women,
+  CASE CAST(c_custkey % 3 AS int) WHEN 0 THEN true WHEN 1 THEN false END AS fined, CASE CAST(c_custkey % 7 AS int) WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS missed,
+  CASE CAST(c_custkey % 3 AS int) WHEN 0 THEN true WHEN 1 THEN false END AS bribery_policy, c_custkey % 2 = 0 AS responsible, c_custkey % 5 = 0 AS whistle FROM customer""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
