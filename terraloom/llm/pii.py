@@ -49,7 +49,7 @@ _LOOSE = {
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)|[.,:-])[0-9]{1,3}+){3}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]?[0-9]){13,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:\+|00)?[(]?[0-9](?:[ ().-]{0,2}[0-9]){8,14}(?![0-9])"),
-    "secret": re.compile(r"(?<![\w+/=-])(?=[\w+/=-]*[0-9])(?=[\w+/=-]*[A-Za-z])[A-Za-z0-9_+/=-]{20,256}+(?![\w+/=-])"),
+    "secret": re.compile(r"(?<![\w+/=-])(?=[\w+/=-]*[0-9])(?=[\w+/=-]*[A-Za-z])[A-Za-z0-9_+/=-]{20,}+(?![\w+/=-])"),
 }
 #: Where a loose span of the kind can be at all.
 _SIGN = {"email": re.compile(r"@|\bat\b", re.I)} | {k: re.compile(r"[0-9]") for k in ALL_KINDS[1:]}
@@ -93,7 +93,7 @@ def base_spans(text: str) -> list[Span]:
     if "@" in text:
         found += [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 found.append(("card", *m.span()))

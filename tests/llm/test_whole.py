@@ -191,3 +191,9 @@ def test_one_harsh_word_in_a_long_text_is_not_toxic(spark):
     new = [(0, " ".join([*clean(4000), "idiot"]), 0), (1, " ".join([*clean(100), *bad]), 1), (2, " ".join(clean(200)), 0), (3, " ".join([*clean(4000), *(bad * 20)]), 1)]
     got = toxicity.score_toxicity(spark.createDataFrame(new, "doc_id long, text string, want int"), votes).select("want", "toxicity.predicted", "toxicity.evidence").collect()
     assert all(r.want == r.predicted for r in got) and all(len(r.evidence) > 0 for r in got if r.want)
+
+
+def test_pii_very_long_runs():
+    assert pii.base_spans("x " + "0" * 5000 + "1.2.3.4 y 9" + "0" * 5000 + ".1.1.1") == [("ip", 2, 5009)]
+    secret = "a1" * 150
+    assert ("secret", 9, 309) in pii.candidates(f'token = "{secret}"')
