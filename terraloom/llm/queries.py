@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, neardup, onebit, pii, repeats, tokens, toxicity
+from . import decontaminate, langid, licenses, mixing, neardup, onebit, pii, repeats, spelling, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(docs, pii.fit_detector(docs))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of which one letter is deleted where a hash of document and run says so."""
+
+    def spoiled(run: Column) -> Column:
+        h = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), run))
+        at = (h % F.length(run)).cast("int")
+        return F.when(h % 31 == 0, F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))).otherwise(run)
+
+    return spelling.spelling_groups(spelling.word_counts(table(spark, sf_dir, "documents"), change=spoiled))
+
+
 OP5_SQL = r"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -102,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {"op4_license_scan": licenses.oracle_sql(), "op5_mix_sources": OP5_SQL}
