@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, neardup, onebit, pii, repeats, spelling, tokens, toxicity
+from . import decontaminate, langid, licenses, mixing, neardup, onebit, periodic, pii, repeats, spelling, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(docs, pii.fit_detector(docs))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which a tail is a repeated stretch where a hash of the document says so."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    docs = docs.withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)").cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.expr("(n - a) div p + 1").cast("int")))
+    spoiled = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("n") - F.col("a"))), " ")
+    return periodic.runs_digest(docs.select("doc_id", F.when(F.col("n") > 0, spoiled).otherwise(F.col("text")).alias("text")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of which one letter is deleted where a hash of document and run says so."""
 
@@ -113,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {"op4_license_scan": licenses.oracle_sql(), "op5_mix_sources": OP5_SQL}
