@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, neardup, onebit, periodic, pii, repeats, spelling, tokens, toxicity
+from . import decontaminate, langid, licenses, mixing, neardup, onebit, periodic, pii, repeats, spelling, tokens, toxicity, voting
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(docs, pii.fit_detector(docs))
 
 
+def op11_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voting.quality_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of which a tail is a repeated stretch where a hash of the document says so."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
@@ -124,7 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
+    "op11_quality_votes": op11_quality_votes,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES = {"op4_license_scan": licenses.oracle_sql(), "op5_mix_sources": OP5_SQL}
+ORACLES = {"op4_license_scan": licenses.oracle_sql(), "op5_mix_sources": OP5_SQL, "op11_quality_votes": voting.oracle_sql()}

@@ -77,8 +77,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         repeat_words(F.col("__words")).alias("n_repeat_words"),
         count(r"\p{Lu}").alias("n_upper"),
         of(r"\p{L}").alias("n_alpha"),
-        of(r"^\p{L}+[.,;:!?]?$").alias("n_plain"),
-        of(r"[.!?]$").alias("n_ends"),
+        of(r"\A\p{L}+[.,;:!?]?\z").alias("n_plain"),
+        of(r"[.!?]\z").alias("n_ends"),
         count("!").alias("n_shouts"),
     )
 
@@ -104,6 +104,22 @@ class RuleModel:
         return F.round(1 / (1 + F.exp(-F.aggregate(odds, F.lit(math.log(self.prior) - math.log(1 - self.prior)), lambda total, w: total + w))), 6)
 
 
+#: Sums over patterns, in millionths of a document: whole numbers, so that no order of adding changes them.
+MICRO = 1_000_000
+_SUMS = {
+    "all_docs": f"docs * {MICRO}",
+    "good_docs": "good",
+    "passed": "CASE WHEN vote = 1 THEN good END",
+    "judged_good": "CASE WHEN vote <> 0 THEN good END",
+    "caught": f"CASE WHEN vote = -1 THEN docs * {MICRO} - good END",
+    "judged_bad": f"CASE WHEN vote <> 0 THEN docs * {MICRO} - good END",
+}
+
+
+def _share(top: int, of: int, guess: float) -> float:
+    return (top / MICRO + WEIGHT * guess) / (of / MICRO + WEIGHT)
+
+
 FIRST = RuleModel(PRIOR, [PASS] * len(RULES), [CATCH] * len(RULES))
 
 
@@ -114,18 +130,17 @@ def fit_rules(measured: DataFrame, rounds: int = ROUNDS) -> RuleModel:
     WEIGHT documents' worth of the first guess. A rule is bound to be right: it fails few good documents, and catches a bad one
     at least three times as often as it fails a good one; so bad documents are those that the rules can't explain as good.
     """
-    patterns = stored(measured.select(votes().alias("votes")).groupBy("votes").agg(F.count("*").cast("double").alias("docs")), "patterns")
+    patterns = stored(measured.select(votes().alias("votes")).groupBy("votes").agg(F.count("*").alias("docs")), "patterns")
     model = FIRST
     for _ in range(rounds):
-        split = patterns.select("docs", (F.col("docs") * model.posterior(F.col("votes"))).alias("good"), F.posexplode("votes").alias("rule", "vote"))
-        sums = {"docs": "docs", "good": "good", "passed": "CASE WHEN vote = 1 THEN good END", "judged_good": "CASE WHEN vote <> 0 THEN good END", "caught": "CASE WHEN vote = -1 THEN docs - good END", "judged_bad": "CASE WHEN vote <> 0 THEN docs - good END"}
-        rows = split.groupBy("rule").agg(*(F.expr(f"coalesce(sum({e}), 0.0D)").alias(k) for k, e in sums.items())).orderBy("rule").collect()  # a row a rule
+        good = F.col("docs") * F.round(model.posterior(F.col("votes")) * MICRO).cast("long")
+        split = patterns.select("docs", good.alias("good"), F.posexplode("votes").alias("rule", "vote"))
+        rows = split.groupBy("rule").agg(*(F.expr(f"coalesce(sum({e}), 0)").alias(k) for k, e in _SUMS.items())).orderBy("rule").collect()  # a row a rule
         if not rows:
             break
-        share = lambda top, of, guess: round((top + WEIGHT * guess) / (of + WEIGHT), 9)
-        passes = [min(MOST_PASS, max(LEAST_PASS, share(r["passed"], r["judged_good"], PASS))) for r in rows]
-        catches = [min(0.99, max(round(3 * (1 - a), 9), share(r["caught"], r["judged_bad"], CATCH))) for a, r in zip(passes, rows, strict=True)]
-        model = RuleModel(min(0.95, max(0.5, share(rows[0]["good"], rows[0]["docs"], PRIOR))), passes, catches)
+        passes = [min(MOST_PASS, max(LEAST_PASS, _share(r["passed"], r["judged_good"], PASS))) for r in rows]
+        catches = [min(0.99, max(3 * (1 - a), _share(r["caught"], r["judged_bad"], CATCH))) for a, r in zip(passes, rows, strict=True)]
+        model = RuleModel(min(0.95, max(0.5, _share(rows[0]["good_docs"], rows[0]["all_docs"], PRIOR))), passes, catches)
     discard(patterns)
     return model
 
@@ -145,3 +160,40 @@ def quality_votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def quality_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The base counts of each document, whether it fails the base rules, its quality and whether it is kept."""
     return quality_votes(docs, id_col, text_col).select(f"`{id_col}`", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "quality", "base_failed", "kept")
+
+
+def oracle_sql() -> str:
+    """quality_digest of documents in DuckDB SQL: windows by their words, rounds by a recursive table of parameters."""
+    k = len(RULES)
+    cast = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for bad, good in RULES.values())
+    share = lambda top, of, guess: f"((sum({top}) / {MICRO}::DOUBLE + {WEIGHT * guess}::DOUBLE) / (sum({of}) / {MICRO}::DOUBLE + {WEIGHT}::DOUBLE))"
+    sums = ", ".join(f"coalesce(sum({e}), 0) AS {name}" for name, e in _SUMS.items())
+    posterior = f"""round(1 / (1 + exp(-list_sum(list_prepend(ln(prior) - ln(1 - prior), list_transform(range(1, {k + 1}), lambda i: CASE votes[i]
+  WHEN 1 THEN ln(passes[i]) - ln(1 - catches[i]) WHEN -1 THEN ln(1 - passes[i]) - ln(catches[i]) ELSE 0 END))))), 6)"""
+    return rf"""
+WITH RECURSIVE split AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM split)),
+again AS (SELECT rid, i FROM windows SEMI JOIN (SELECT rid, win FROM windows GROUP BY ALL HAVING count(*) > 1) USING (rid, win)),
+covered AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM again, range({WINDOW}) AS r(j) GROUP BY rid),
+measured AS MATERIALIZED (SELECT rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
+  len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha, len(list_filter(w, lambda x: regexp_matches(x, '\A\p{{L}}+[.,;:!?]?\z'))) AS n_plain,
+  len(list_filter(w, lambda x: regexp_matches(x, '[.!?]\z'))) AS n_ends, len(regexp_extract_all(t, '!')) AS n_shouts FROM split LEFT JOIN covered USING (rid)),
+voted AS MATERIALIZED (SELECT *, [{cast}] AS votes FROM measured),
+patterns AS MATERIALIZED (SELECT votes, count(*) AS docs FROM voted GROUP BY votes),
+fitted(round, prior, passes, catches) AS (
+  SELECT 0, {PRIOR}::DOUBLE, list_transform(range({k}), lambda i: {PASS}::DOUBLE), list_transform(range({k}), lambda i: {CATCH}::DOUBLE)
+  UNION ALL
+  SELECT round + 1, max(p), list(a ORDER BY rule), list(least(0.99::DOUBLE, greatest(3 * (1 - a), b)) ORDER BY rule) FROM (
+    SELECT round, rule, least(0.95::DOUBLE, greatest(0.5::DOUBLE, {share("good_docs", "all_docs", PRIOR)})) AS p,
+      least({MOST_PASS}::DOUBLE, greatest({LEAST_PASS}::DOUBLE, {share("passed", "judged_good", PASS)})) AS a, {share("caught", "judged_bad", CATCH)} AS b FROM (
+      SELECT round, rule, {sums} FROM (
+        SELECT round, r.rule, votes[r.rule] AS vote, docs, docs * round({posterior} * {MICRO})::BIGINT AS good FROM fitted, patterns, range(1, {k + 1}) AS r(rule) WHERE round < {ROUNDS})
+      GROUP BY round, rule)
+    GROUP BY round, rule)
+  GROUP BY round),
+model AS (SELECT * FROM fitted ORDER BY round DESC LIMIT 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, quality, base_failed, NOT base_failed AND quality >= 0.5 AS kept
+FROM (SELECT *, {posterior} AS quality, {BASE_FAILED} AS base_failed FROM voted, model)
+"""
