@@ -85,8 +85,13 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1)), r"^www\.", "")
 
 
+# Fixed value: an entry of a filing's index, a heading and its page.
+INDEX_ENTRY = r"Item\s+[0-9]+[A-Z]?\.\s*[^.]{0,80}?\s[0-9]{1,3}\b"
+
+
 def table_of_contents(text: Column, least: int = 3) -> Column:
-    return F.regexp_count(text, F.lit(r"Item\s+[0-9]+[A-Z]?\.[^\n]{0,80}[0-9]+")) >= least
+    """Whether a text has index entries enough to be a table of contents."""
+    return F.regexp_count(text, F.lit(INDEX_ENTRY)) >= least
 
 
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"

@@ -1,6 +1,6 @@
 """Named queries over the given tables, each with the SQL that its result must equal."""
 
-from . import records, relational, rules, scores, texts  # noqa: F401
+from . import clustering, records, relational, review, rules, scores, texts, windows  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -44,6 +44,11 @@ SELECT c_nationkey AS iso, concat('i', CAST(o_orderkey % 12 AS string)) AS indic
 SELECT concat('c', CAST(c_custkey AS string)) AS company, CASE CAST(c_custkey % 3 AS int) WHEN 0 THEN 'E' WHEN 1 THEN 'S' ELSE 'G' END AS pillar,
   CAST(c_custkey * 7 % 101 AS double) AS predicted, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE floor(c_acctbal / 100) END AS truth,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey * 13 % 97 AS double) END AS holistic, CAST(c_custkey % 21 AS double) AS mass, c_custkey % 4 AS n_claims FROM customer""",
+    "critic_verdicts": """
+SELECT concat('c', CAST(user_id AS string)) AS company, CASE CAST(event_id % 3 AS int) WHEN 0 THEN 'E' WHEN 1 THEN 'S' ELSE 'G' END AS pillar, event_id AS seq, 1 + CAST(floor(event_id / 9) AS int) % 2 AS round,
+  CASE CAST(floor(event_id / 3) AS int) % 3 WHEN 0 THEN 'evidence_support' WHEN 1 THEN 'peer_plausibility' ELSE 'internal_consistency' END AS critic,
+  CASE WHEN event_type IN ('error', 'purchase') THEN 'refute' WHEN event_type = 'view' THEN 'abstain' ELSE 'pass' END AS verdict,
+  CASE WHEN value >= 2 THEN concat('f', CAST(CAST(floor(value) AS int) % 2 AS string)) END AS flagged, concat(event_type, ' ', CAST(event_id AS string)) AS objection FROM events""",
     "calculator": """
 SELECT c_custkey AS company_id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_nationkey * 3 + 10 AS double) END AS country_score,
   CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(length(c_mktsegment) * 7 AS double) END AS industry_score, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 900 AS double) END AS diesel,

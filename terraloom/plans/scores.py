@@ -54,15 +54,15 @@ contributions AS (SELECT company, pillar, factor, method, confidence, weight, CA
 sums AS (SELECT 'E' AS pillar, sum(weight) AS weight_sum FROM factors UNION ALL SELECT 'S', sum(weight) FROM factors UNION ALL SELECT 'G', sum(weight) FROM factors),""" + _REDUCE
 
 
-def _contributions(t):
-    best = C.best_claims(t.claims.join(t.factors, "factor"), ["company", "pillar", "factor"])
+def _contributions(t, claims=None):
+    best = C.best_claims((claims or t.claims).join(t.factors, "factor"), ["company", "pillar", "factor"])
     band = scoring.band_delta(F.col("value"), F.col("full_value"), F.col("none_value"))
     return best.withColumn("delta", F.when(F.col("seq") % 2 == 0, band).otherwise(F.col("polarity") * F.col("strength")))
 
 
-def _reduced(t):
+def _reduced(t, claims=None):
     sums = t.factors.agg(F.sum("weight").alias("weight_sum")).select(F.explode(F.array(*map(F.lit, "ESG"))).alias("pillar"), "weight_sum")
-    return C.pillar_reduction(_contributions(t), sums)
+    return C.pillar_reduction(_contributions(t, claims), sums)
 
 
 @query("c02_formula_scores", _SCORED + "SELECT company, pillar, n_claims, gate_fired, round(mass, 6) AS mass, round(delta, 6) AS delta, round(coverage, 6) AS coverage, round(CASE WHEN term <> 0 THEN greatest(0, least(100, 50 + term)) ELSE 50 END, 6) AS score FROM termed")
