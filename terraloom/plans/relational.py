@@ -161,9 +161,10 @@ def _(t):
 
 @query("j12_peers_without_self", "SELECT company, count(p.peer_id) AS n_peers, round(median(p.score), 6) AS middle FROM companies c JOIN peers p ON c.country = p.country AND lower(p.name) <> replace(lower(c.name), 'supplier', 'customer') GROUP BY company")
 def _(t):
-    own = F.regexp_replace(names.normal_form(F.col("c.name")), "supplier", "customer")
-    rows = t.companies.alias("c").join(t.peers.alias("p"), "country").where(names.normal_form(F.col("p.name")) != own)
-    return rows.groupBy("company").agg(F.count("peer_id").alias("n_peers"), r6(F.median("score")).alias("middle"))
+    peers = t.peers.select("country", names.normal_form(F.col("name")).alias("name"), "score", "peer_id")
+    owners = t.companies.select("company", "country", F.regexp_replace(names.normal_form(F.col("name")), "supplier", "customer").alias("name"))
+    out = ranking.medians_without_own(peers, "country", "name", "score", "peer_id", owners)
+    return out.where("n_others > 0").select("company", F.col("n_others").alias("n_peers"), r6("middle").alias("middle"))
 
 
 @query("j13_crosswalk", "SELECT peer_id, CASE sector WHEN 'MACHINERY' THEN 'industry' WHEN 'AUTOMOBILE' THEN 'industry' WHEN 'BUILDING' THEN 'real estate' END AS label FROM peers")

@@ -171,7 +171,7 @@ def _(t):
 
 @query("w06_average_rank", "SELECT company, rank() OVER (PARTITION BY pillar ORDER BY predicted) + (count(*) OVER (PARTITION BY pillar, predicted) - 1) / 2 AS place FROM predictions")
 def _(t):
-    return t.predictions.select("company", ranking.average_rank("predicted", ["pillar"]).alias("place"))
+    return ranking.with_average_rank(t.predictions.select("company", "pillar", "predicted"), ["pillar"], "predicted", "place").select("company", "place")
 
 
 @query("a34_spearman", "WITH b AS (SELECT pillar, rank() OVER (PARTITION BY pillar ORDER BY predicted) + (count(*) OVER (PARTITION BY pillar, predicted) - 1) / 2 AS a, rank() OVER (PARTITION BY pillar ORDER BY truth) + (count(*) OVER (PARTITION BY pillar, truth) - 1) / 2 AS b FROM predictions WHERE truth IS NOT NULL) SELECT pillar, count(*) AS n, round(corr(a, b), 6) AS rho FROM b GROUP BY pillar")

@@ -39,7 +39,7 @@ def test_reconciled_votes(spark):
 def test_midrank_and_average_rank_with_ties(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 7.0), (4, None)], "k int, v double").withColumn("g", F.lit(1))
     assert rows(ranking.midrank_percentile(df, ["g"], "v").select("k", F.round("percentile", 4)), "k") == [(1, 33.3333), (2, 33.3333), (3, 83.3333)]
-    assert rows(df.where("v is not null").select("k", ranking.average_rank("v", ["g"])), "k") == [(1, 1.5), (2, 1.5), (3, 3.0)]
+    assert rows(ranking.with_average_rank(df, ["g"], "v", "place").select("k", "place"), "k") == [(1, 1.5), (2, 1.5), (3, 3.0)]
 
 
 def test_spearman_needs_rows_and_variance(spark):
