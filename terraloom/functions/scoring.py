@@ -14,6 +14,9 @@ COVERAGE_FLOOR, MASS_GATE, CENTRE, BASELINE_SHARE = 0.6, 2.5, 50.0, 0.02
 # Weights of the two votes of a pillar, and the second one's confidence.
 VOTE_WEIGHTS = {"E": (0.7, 0.3), "S": (0.1, 0.9), "G": (0.7, 0.3)}
 HOLISTIC_CONFIDENCE, LEAST_HALF, MOST_HALF = 0.5, 1.0, 5.0
+# The factors of votes that aren't claims, and the weights they have by pillar.
+PEER_ANCHOR, INDUSTRY_VOTE = "_peer_anchor", "_industry_median"
+ANCHOR_WEIGHT, INDUSTRY_WEIGHTS = 10.0, {"E": 10.0, "S": 6.0, "G": 6.0}
 
 
 def by_key(key: Column, values: dict, default) -> Column:

@@ -53,6 +53,31 @@ def pillar_reduction(contributions: DataFrame, weight_sums: DataFrame, baseline:
     return out.withColumn("score", scoring.tiebroken(F.col("term"), F.lit(baseline))).drop("num", "den", "weight_sum")
 
 
+def saturated(contributions: DataFrame, scored: DataFrame, weight_sums: DataFrame) -> DataFrame:
+    """scored (company, pillar, baseline) with mass, gate_fired, delta, coverage, n_claims, anchored and score.
+
+    The peer anchor counts in the swing alone: not in the mass that opens the gate, nor in coverage, nor as a claim; the
+    industry's vote counts as a claim. Behind a closed gate only the anchor moves the score. Keys without contributions have
+    the baseline's small share.
+    """
+    anchor = F.col("factor") == scoring.PEER_ANCHOR
+    adjusted = F.col("weight") * F.col("confidence") * scoring.trust(F.col("method"))
+    part = lambda value, of: F.coalesce(F.sum(F.when(of, value)), F.lit(0.0))
+    sums = contributions.groupBy("company", "pillar").agg(
+        part(adjusted, ~anchor).alias("mass"), part(adjusted * F.col("delta"), ~anchor).alias("num"), part(F.col("weight"), ~anchor).alias("den"), F.count_if(~anchor).alias("n_given"),
+        part(adjusted * F.col("delta"), anchor).alias("anchor_num"), part(F.col("weight"), anchor).alias("anchor_den"), (F.count_if(anchor) > 0).alias("anchored"),
+    )
+    out = scored.join(sums, ["company", "pillar"], "left").join(weight_sums, "pillar", "left").fillna(0.0, ["mass", "num", "den", "anchor_num", "anchor_den"]).fillna(0, ["n_given"]).fillna(False, ["anchored"])
+    out = out.withColumn("gate_fired", F.col("mass") < scoring.MASS_GATE)
+    open_ = lambda c: F.when(F.col("gate_fired"), 0.0).otherwise(F.col(c))
+    num, den = open_("num") + F.col("anchor_num"), open_("den") + F.col("anchor_den")
+    out = out.withColumn("delta", F.when(den > 0, scoring.clamp(num / den, -1.0, 1.0)).otherwise(0.0))
+    out = out.withColumn("coverage", F.when(F.col("weight_sum") > 0, scoring.clamp(open_("den") / F.col("weight_sum"), 0.0, 1.0)).otherwise(0.0))
+    out = out.withColumn("n_claims", F.when(F.col("gate_fired"), 0).otherwise(F.col("n_given")))
+    term = scoring.evidence_term(F.col("pillar"), F.col("delta"), F.col("coverage"))
+    return out.withColumn("score", scoring.tiebroken(term, F.col("baseline"))).drop("num", "den", "anchor_num", "anchor_den", "n_given", "weight_sum")
+
+
 def reconciled(votes: DataFrame) -> DataFrame:
     """Two optional votes (formula with its trust mass, holistic) of a pillar to score, spread, range and label."""
     first = scoring.by_key(F.col("pillar"), {k: v[0] for k, v in scoring.VOTE_WEIGHTS.items()}, 0.5) * F.least(F.lit(1.0), 0.4 + 0.04 * F.col("mass"))

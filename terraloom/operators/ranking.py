@@ -47,6 +47,22 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, value, (F.col("below") + F.col("__before")).alias("below"), "equal", F.col("__total").alias("total"))
 
 
+def ranks_among(queries: DataFrame, df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """queries with below, equal and total: where their value stands among the values of df with the same keys.
+
+    Queries take part in the ranges as rows that count nothing, so no distribution is held in one place. Queries without a
+    value or whose keys df lacks have nulls.
+    """
+    asked = queries.select(*keys, value).where(F.col(value).isNotNull()).distinct().select(*keys, value, F.lit(0).cast("long").alias("equal"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("equal"))
+    both = counts.unionByName(asked).groupBy(*keys, value).agg(F.sum("equal").alias("equal"))
+    ranged = _in_ranges(both, keys, [value])
+    inside = F.coalesce(F.sum("equal").over(W.partitionBy(*keys, "__range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = ranged.withColumn("below", inside).join(_offsets(ranged, keys, F.col("equal")), [*keys, "__range"]).where(F.col("__total") > 0)
+    ranks = out.select(*keys, value, (F.col("below") + F.col("__before")).alias("below"), "equal", F.col("__total").alias("total"))
+    return queries.join(ranks, [*keys, value], "left")
+
+
 def positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """df with `position` (from 0) and `total` in its key by the order, which must decide ties; keys and order without nulls."""
     ranged = _in_ranges(df, keys, order)
@@ -91,7 +107,7 @@ def percentile_error(df: DataFrame, keys: list[str], a: str, b: str) -> DataFram
 
 
 def medians_without_own(df: DataFrame, key: str, name: str, value: str, unique: str, owners: DataFrame) -> DataFrame:
-    """owners (key, name and other columns) with n_others and middle: how many rows of their key have another name, and the median of those.
+    """owners (key, name and other columns) with n_others, n_valued and middle: rows of their key with another name, those with a value, and their median.
 
     Values are numbered in order. An owner's rows are taken out of that numbering, which moves the middle by a place for
     each of them below it; so an owner meets its own rows and two values, never all rows of its key. Null values count in
@@ -104,12 +120,12 @@ def medians_without_own(df: DataFrame, key: str, name: str, value: str, unique:
     valued = ordered.groupBy(key).agg(F.count("*").alias("__valued"))
     out = owners.join(rows, [key, name], "left").join(own, [key, name], "left").join(sizes, key, "left").join(valued, key, "left")
     out = out.withColumn("__own", F.coalesce("__own", F.array().cast("array<long>"))).withColumn("n_others", F.coalesce(F.col("__all") - F.coalesce("__mine", F.lit(0)), F.lit(0)))
-    left = F.col("__valued") - F.size("__own")
+    left = F.coalesce(F.col("__valued"), F.lit(0)) - F.size("__own")
     moved = lambda at: F.when(left > 0, F.aggregate("__own", at.cast("long"), lambda p, q: F.when(q <= p, p + 1).otherwise(p)))
     out = out.withColumn("__low", moved(F.floor((left - 1) / 2))).withColumn("__high", moved(F.floor(left / 2)))
     at = lambda n: ordered.select(key, F.col("position").alias(n), F.col(value).alias(n + "_value"))
     out = out.join(at("__low"), [key, "__low"], "left").join(at("__high"), [key, "__high"], "left")
-    return out.withColumn("middle", (F.col("__low_value") + F.col("__high_value")) / 2).drop("__own", "__mine", "__all", "__valued", "__low", "__high", "__low_value", "__high_value")
+    return out.withColumn("n_valued", left).withColumn("middle", (F.col("__low_value") + F.col("__high_value")) / 2).drop("__own", "__mine", "__all", "__valued", "__low", "__high", "__low_value", "__high_value")
 
 
 def prefix_within(df: DataFrame, keys: list[str], size: str, budget: float, *order: Column) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries over the given tables, each with the SQL that its result must equal."""
 
-from . import clustering, places, public_records, records, registers, relational, review, rules, scores, texts, windows  # noqa: F401
+from . import anchors, clustering, places, public_records, records, registers, relational, review, rules, scores, texts, windows  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
