@@ -116,12 +116,23 @@ def _(t):
     return spans.merge_spans(t.events.select("user_id", (at - 3600).alias("lo"), (at + 7200).alias("hi")), ["user_id"], "lo", "hi")
 
 
-@query("w10_keyword_windows", "")
+@query("w10_keyword_windows", """WITH parted AS (SELECT doc_id, length(text) AS n, w, string_split(lower(text), w) AS parts FROM documents, (VALUES ('license'), ('token'), ('@mail')) v(w)),
+hits AS (SELECT doc_id, n, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(w))::INT AS pos FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM parted)),
+spans AS (SELECT doc_id, greatest(0, pos - 300) AS lo, least(n, pos + 300) AS hi FROM hits),
+marked AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM spans),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+SELECT doc_id, min(lo)::INT AS start, max(hi)::INT AS "end", count(*) AS n_merged FROM islands GROUP BY doc_id, island""")
 def _(t):
     return spans.keyword_windows(t.documents, ["doc_id"], "text", ["license", "token", "@mail"], 300, 300)
 
 
-@query("w11_budgeted_blocks", "")
+_BLOCKS = "WITH RECURSIVE blocks AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),"
+
+
+@query("w11_budgeted_blocks", _BLOCKS + """ ordered AS MATERIALIZED (SELECT doc_id, n, length(line) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, n) AS nth FROM blocks),
+taken AS (SELECT doc_id, n, size, nth, size <= 2000 AS chosen, CASE WHEN size <= 2000 THEN size ELSE 0 END AS used FROM ordered WHERE nth = 1
+  UNION ALL SELECT o.doc_id, o.n, o.size, o.nth, used < 1800 AND used + o.size <= 2000, used + CASE WHEN used < 1800 AND used + o.size <= 2000 THEN o.size ELSE 0 END FROM taken t JOIN ordered o ON o.doc_id = t.doc_id AND o.nth = t.nth + 1)
+SELECT doc_id, n::INT AS n, size::INT AS size, chosen FROM taken""")
 def _(t):
     blocks = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("size", F.length("line"))
     return ranking.budgeted(blocks.select("doc_id", "n", "size"), ["doc_id"], "size", 2000, [-F.col("size"), F.col("n")])
@@ -133,7 +144,11 @@ def _(t):
     return ranking.prefix_within(blocks, ["doc_id"], "size", 1500, F.col("n")).select("doc_id", "n")
 
 
-@query("w13_chunks", "")
+@query("w13_chunks", _BLOCKS + """ sized AS MATERIALIZED (SELECT doc_id, n, line, length(line) AS size, n // 7 AS head FROM blocks),
+folded AS (SELECT doc_id, n, line, size AS total, head, 0 AS k FROM sized WHERE n = 0
+  UNION ALL SELECT s.doc_id, s.n, s.line, CASE WHEN s.head <> f.head OR total + s.size > 1200 THEN s.size ELSE total + s.size END, s.head, k + CASE WHEN s.head <> f.head OR total + s.size > 1200 THEN 1 ELSE 0 END FROM folded f JOIN sized s ON s.doc_id = f.doc_id AND s.n = f.n + 1),
+joined AS (SELECT doc_id, k, CAST(any_value(head) AS string) AS heading, string_agg(line, chr(10) ORDER BY n) AS chunk FROM folded GROUP BY doc_id, k)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_no, heading, chunk FROM joined WHERE length(chunk) >= 80""")
 def _(t):
     blocks = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("heading", F.floor(F.col("n") / 7).cast("string"))
     return chunks.chunked(blocks, ["doc_id"], "n", "heading", "line", 1200, 80)
@@ -181,13 +196,18 @@ def _(t):
     return vectors.best_cosine(w.withColumnRenamed("p_partkey", "part"), labels, "part", "label", 0.3).select("part", "label", r6("cosine").alias("cosine"))
 
 
-@query("l02_lloyd_centres", "")
+_NEAREST = """{a} AS (SELECT * FROM (SELECT vec_id, v, centre, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM points, {c}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), centre) = 1)"""
+_MEANS = "{c} AS (SELECT centre, list(m ORDER BY j) AS c FROM (SELECT centre, j, avg(x) AS m FROM (SELECT centre, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM {a}) GROUP BY centre, j) GROUP BY centre)"
+_LLOYD = "WITH points AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), c0 AS (SELECT vec_id AS centre, v AS c FROM points WHERE vec_id IN (0, 1, 2)), " + ", ".join(f"{_NEAREST.format(a=f'a{i}', c=f'c{i}')}, {_MEANS.format(a=f'a{i}', c=f'c{i + 1}')}" for i in range(3)) + f", {_NEAREST.format(a='a3', c='c3')}"
+
+
+@query("l02_lloyd_centres", _LLOYD + " SELECT vec_id, centre, round(d, 6) AS distance FROM a3")
 def _(t):
     points = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     centres = points.where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("centre"), F.col("v").alias("c"))
     for _ in range(3):
         centres = vectors.lloyd_step(points, "vec_id", "v", centres, 64)
-    return vectors.nearest(points, "vec_id", "v", centres)
+    return vectors.nearest(points, "vec_id", "v", centres).select("vec_id", "centre", r6("distance").alias("distance"))
 
 
 @query("l03_nearest_centre", "WITH c AS (SELECT label, vec_id, embedding FROM embeddings WHERE vec_id < 5) SELECT e.vec_id, c.vec_id AS centre, round(list_distance(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)) ** 2, 6) AS distance FROM embeddings e, c QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_distance(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(c.embedding, lambda x: x::DOUBLE)) ** 2, 9), c.vec_id) = 1")
