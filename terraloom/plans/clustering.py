@@ -107,14 +107,22 @@ def _(t):
 _RAW_SEVERITY = "CASE WHEN item_id = 5 THEN NULL ELSE (length(text) % 11)::DOUBLE / 10 END"
 
 
-@query("m19_cluster_severity", _FITTED + f""", {_UNIT}, cited AS (SELECT company, source_tag, min_by(text, seq) AS text FROM signals GROUP BY company, source_tag),
+_LIKE = _FITTED + f""", {_UNIT}, cited AS (SELECT company, source_tag, min_by(text, seq) AS text FROM signals GROUP BY company, source_tag),
 said AS (SELECT DISTINCT c.pillar AS grp, concat(c.company, '/', c.source_tag) AS key, text FROM claims c JOIN cited USING (company, source_tag)), {_vectors_sql("said")},
 sims AS (SELECT k.grp, k.key, k.text, n.centre, round(coalesce(s, 0), 9) AS s FROM said k JOIN (SELECT DISTINCT grp, centre FROM unit) n USING (grp) LEFT JOIN (SELECT p.grp, p.key, centre, sum(w * c) AS s FROM points_said p JOIN unit USING (grp, term) GROUP BY ALL) d ON d.grp = k.grp AND d.key = k.key AND d.centre = n.centre),
 best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY grp, key ORDER BY s DESC, centre) = 1),
-labels AS (SELECT grp, centre, CASE WHEN v <= 0.375 THEN 0.25 WHEN v <= 0.625 THEN 0.5 WHEN v <= 0.875 THEN 0.75 WHEN v IS NOT NULL THEN 1.0 END::DOUBLE AS severity FROM (SELECT {_CLASS.format("item_id")} AS grp, item_id // 3 AS centre, {_RAW_SEVERITY} AS v FROM benchmark WHERE item_id < {3 * CENTRES})),
-met AS (SELECT c.seq, c.strength, c.confidence, b.centre, b.s, severity, coalesce(length(trim(text)) >= 30 AND s >= 0.12 AND severity IS NOT NULL, false) AS hit FROM claims c LEFT JOIN best b ON b.grp = c.pillar AND b.key = concat(c.company, '/', c.source_tag) LEFT JOIN labels l ON l.grp = b.grp AND l.centre = b.centre)
+labels AS (SELECT grp, centre, CASE WHEN v <= 0.375 THEN 0.25 WHEN v <= 0.625 THEN 0.5 WHEN v <= 0.875 THEN 0.75 WHEN v IS NOT NULL THEN 1.0 END::DOUBLE AS severity FROM (SELECT {_CLASS.format("item_id")} AS grp, item_id // 3 AS centre, {_RAW_SEVERITY} AS v FROM benchmark WHERE item_id < {3 * CENTRES}))"""
+
+
+@query("m19_cluster_severity", _LIKE + f""", met AS (SELECT c.seq, c.strength, c.confidence, b.centre, b.s, severity, coalesce(length(trim(text)) >= 30 AND s >= 0.12 AND severity IS NOT NULL, false) AS hit FROM claims c LEFT JOIN best b ON b.grp = c.pillar AND b.key = concat(c.company, '/', c.source_tag) LEFT JOIN labels l ON l.grp = b.grp AND l.centre = b.centre)
 SELECT seq, centre AS cluster, round(s, 6) AS similarity, CASE WHEN hit THEN severity ELSE strength END AS strength, CASE WHEN hit THEN round(confidence * (0.7::DOUBLE + 0.30000000000000004::DOUBLE * least(1.0::DOUBLE, s / 0.45::DOUBLE)), 3) ELSE confidence END AS confidence FROM met""")
 def _(t):
+    out = K.with_severity(t.claims.join(like(t), ["pillar", "company", "source_tag"], "left"), "text", "cluster", "similarity", "severity")
+    return out.select("seq", F.col("cluster").cast("long").alias("cluster"), r6("similarity").alias("similarity"), "strength", "confidence")
+
+
+def like(t):
+    """pillar, company, source_tag, text, cluster, similarity and severity of the texts that claims cite."""
     _, terms, _, _, index = _fit(t)
     cited = t.signals.groupBy("company", "source_tag").agg(F.min_by("text", "seq").alias("text"))
     key = F.concat_ws("/", "company", "source_tag")
@@ -123,5 +131,4 @@ def _(t):
     raw = F.when(F.col("item_id") != 5, (F.length("text") % 11) / 10)
     labels = t.benchmark.where(F.col("item_id") < 3 * CENTRES).select(_class("item_id").alias("group"), F.expr("CAST(item_id div 3 AS int)").alias("cluster"), K.snapped(raw).alias("severity"))
     found = found.withColumn("similarity", F.round("similarity", 9)).join(labels, ["group", "cluster"], "left").withColumnRenamed("group", "pillar")
-    out = K.with_severity(t.claims.withColumn("key", key).join(found, ["pillar", "key"], "left"), "text", "cluster", "similarity", "severity")
-    return out.select("seq", F.col("cluster").cast("long").alias("cluster"), r6("similarity").alias("similarity"), "strength", "confidence")
+    return found.withColumn("company", F.split("key", "/")[0]).withColumn("source_tag", F.split("key", "/")[1]).drop("key")
