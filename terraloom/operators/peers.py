@@ -22,7 +22,7 @@ def _key(*parts) -> object:
     return F.concat(*(x for p in parts for x in (p, F.lit(_BETWEEN))))
 
 
-def peer_votes(companies: DataFrame, peers: DataFrame, pool: DataFrame) -> DataFrame:
+def peer_votes(companies: DataFrame, peers: DataFrame, pool: DataFrame, tiers: list[str] | None = None) -> DataFrame:
     """company, pillar, tier, percentile, confidence, n_peers for the three pillars of each company.
 
     companies: company, name, country, sectors (array, the first tried first), label (its sector in the second pool's terms).
@@ -30,7 +30,7 @@ def peer_votes(companies: DataFrame, peers: DataFrame, pool: DataFrame) -> DataF
     A group is a sector of one country, then of all (which E and S leave out); the median of the others is placed among all
     peers' values, with equal ones half below. Then the label's group of the second pool by country, then of all: E and S
     take the mean of proxies (none: no vote), G the median of overall percentiles. Names are compared as given, and a
-    company's own rows never count. Without a group: tier 'abstain', no percentile, confidence 0. Null sectors, labels,
+    company's own rows never count. Only the given tiers are tried (all, if none are given). Without a group: tier 'abstain', no percentile, confidence 0. Null sectors, labels,
     countries and names match nothing.
     """
     pillars = list(LEFT_OUT)
@@ -61,7 +61,7 @@ def peer_votes(companies: DataFrame, peers: DataFrame, pool: DataFrame) -> DataF
     votes = F.inline(F.array(*(F.struct(F.lit(p).alias("pillar"), (F.col("middle") if p == OVERALL else mean(p)).alias("percentile")) for p in pillars)))
     second = second.select("company", "tier", F.lit(0).alias("nth"), F.col("n_valued").alias("n"), votes).select("company", "pillar", "tier", "nth", "n", "percentile")
 
-    tried = first.unionByName(second)
+    tried = first.unionByName(second).where(F.col("tier").isin(list(TIERS) if tiers is None else tiers))
     floor, order = (F.create_map(*(x for i, (t, v) in enumerate(TIERS.items()) for x in (F.lit(t), F.lit(i if what else v[0])))) for what in (0, 1))
     out_of = F.create_map(*(x for p, tiers in LEFT_OUT.items() for x in (F.lit(p), F.array(*map(F.lit, tiers)).cast("array<string>"))))
     enough = tried.where((F.col("n") >= F.element_at(floor, F.col("tier"))) & ~F.array_contains(F.element_at(out_of, F.col("pillar")), F.col("tier")))

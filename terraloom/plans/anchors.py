@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..operators import claims as C
 from ..operators import peers as P
+from ..operators import routing
 from .base import query
 from .rules import _SHARES, _placed
 from .scores import _TRUST, r6
@@ -31,13 +32,13 @@ votes AS (SELECT company, d.pillar, coalesce(tier, 'abstain') AS tier, percentil
   FROM (SELECT company, unnest(['E', 'S', 'G']) AS pillar FROM sect) d LEFT JOIN (SELECT * FROM chosen WHERE percentile IS NOT NULL) USING (company, pillar))"""
 
 
-def _votes(t):
+def _votes(t, tiers=None):
     t.companies.createOrReplaceTempView("companies")
     own = t.spark.sql(_SECTORS).select("company", "name", "country", F.array_compact(F.array("sector", "bucket")).alias("sectors"), "label")
     base = t.peers.select(F.col("peer_id").alias("id"), F.lower("name").alias("name"), "sector", "country", "score", "workers", "community", "customers")
     first = base.select("id", "name", "sector", "country", F.col("score").alias("E"), F.col("workers").alias("S"), F.col("community").alias("G"))
     pool = base.select("id", "name", "sector", "country", F.col("customers").alias("overall"), (F.col("workers") / 200).alias("E"), (F.col("community") / 200).alias("S"))
-    return P.peer_votes(own, first, pool)
+    return P.peer_votes(own, first, pool, tiers)
 
 
 @query("c04_peer_votes", f"WITH {_VOTES} SELECT company, pillar, tier, round(percentile, 6) AS percentile, confidence, n_peers FROM votes")
@@ -50,7 +51,7 @@ _INDUSTRY = "SELECT sector, 100 * (avg(score) + 1000) / 11000 AS percentile FROM
 _BASE = "SELECT country, greatest(0, least(100, avg(score) / 100)) AS baseline FROM peers GROUP BY country HAVING count(score) > 10"
 
 
-@query("c02_full_scores", f"""{_SHARES}, {_VOTES}, methods AS (SELECT company, factor, method FROM best),
+_FULL = f"""{_SHARES}, {_VOTES}, methods AS (SELECT company, factor, method FROM best),
 industry AS ({_INDUSTRY}), based AS ({_BASE}),
 parts AS (SELECT p.company, p.pillar, p.factor, p.weight, conf AS confidence, delta, method FROM placed_claims p JOIN methods USING (company, factor)
   UNION ALL SELECT company, pillar, '_peer_anchor', 10, confidence, 2 * (percentile / 100) - 1, 'peer_anchor' FROM votes WHERE percentile IS NOT NULL
@@ -60,10 +61,18 @@ sums AS (SELECT company, pillar, coalesce(sum(weight * confidence * {_TRUST}) FI
 dense AS (SELECT c.company, pillar, coalesce(baseline, 50) AS baseline FROM companies c LEFT JOIN based USING (country), (VALUES ('E'), ('S'), ('G')) p(pillar)),
 gate AS (SELECT d.*, coalesce(mass, 0) AS mass, coalesce(mass, 0) < 2.5 AS fired, coalesce(num, 0) AS num, coalesce(den, 0) AS den, coalesce(n, 0) AS n, coalesce(anum, 0) AS anum, coalesce(aden, 0) AS aden FROM dense d LEFT JOIN sums USING (company, pillar)),
 swing AS (SELECT *, CASE WHEN CASE WHEN fired THEN 0 ELSE den END + aden > 0 THEN greatest(-1, least(1, (CASE WHEN fired THEN 0 ELSE num END + anum) / (CASE WHEN fired THEN 0 ELSE den END + aden))) ELSE 0 END AS delta, CASE WHEN fired THEN 0 ELSE least(1, den / (SELECT sum(weight) FROM factors)) END AS coverage FROM gate),
-termed AS (SELECT *, (CASE WHEN pillar = 'S' THEN 200.0::DOUBLE WHEN pillar = 'G' AND delta < 0 THEN 160.0::DOUBLE ELSE 40.0::DOUBLE END) * ((exp(delta) - exp(-delta)) / (exp(delta) + exp(-delta))) * (0.6::DOUBLE + 0.4::DOUBLE * coverage) AS term FROM swing)
-SELECT company, pillar, round(mass, 6) AS mass, fired AS gate_fired, CASE WHEN fired THEN 0 ELSE n END AS n_claims, aden > 0 AS anchored, round(delta, 6) AS delta, round(coverage, 6) AS coverage,
-  round(greatest(0, least(100, CASE WHEN term <> 0 THEN 50 + term ELSE 50 + 0.02 * (baseline - 50) END)), 6) AS score FROM termed""".replace("placed AS (SELECT company, pillar, factor, weight, seq", "placed_claims AS (SELECT company, pillar, factor, weight, seq", 1))
+termed AS (SELECT *, (CASE WHEN pillar = 'S' THEN 200.0::DOUBLE WHEN pillar = 'G' AND delta < 0 THEN 160.0::DOUBLE ELSE 40.0::DOUBLE END) * ((exp(delta) - exp(-delta)) / (exp(delta) + exp(-delta))) * (0.6::DOUBLE + 0.4::DOUBLE * coverage) AS term FROM swing),
+full_scores AS (SELECT company, pillar, mass, fired, n, aden, delta, coverage, greatest(0, least(100, CASE WHEN term <> 0 THEN 50 + term ELSE 50 + 0.02 * (baseline - 50) END)) AS score FROM termed)""".replace("placed AS (SELECT company, pillar, factor, weight, seq", "placed_claims AS (SELECT company, pillar, factor, weight, seq", 1)
+
+
+@query("c02_full_scores", _FULL + " SELECT company, pillar, round(mass, 6) AS mass, fired AS gate_fired, CASE WHEN fired THEN 0 ELSE n END AS n_claims, aden > 0 AS anchored, round(delta, 6) AS delta, round(coverage, 6) AS coverage, round(score, 6) AS score FROM full_scores")
 def _(t):
+    out = full_scores(t)[1]
+    return out.select("company", "pillar", r6("mass").alias("mass"), "gate_fired", "n_claims", "anchored", r6("delta").alias("delta"), r6("coverage").alias("coverage"), r6("score").alias("score"))
+
+
+def full_scores(t):
+    """All contributions, and the scores they make."""
     votes = _votes(t)
     t.peers.createOrReplaceTempView("peers")
     t.companies.createOrReplaceTempView("companies")
@@ -75,5 +84,33 @@ def _(t):
     parts = _placed(t).select("company", "pillar", "factor", "weight", "confidence", "delta", "method").unionByName(anchors).unionByName(industry)
     sums = t.factors.agg(F.sum("weight").alias("weight_sum")).select(F.explode(F.array(*map(F.lit, "ESG"))).alias("pillar"), "weight_sum")
     dense = t.companies.select("company", "country", F.explode(F.array(*map(F.lit, "ESG"))).alias("pillar")).join(t.spark.sql(_BASE), "country", "left").select("company", "pillar", F.coalesce("baseline", F.lit(50.0)).alias("baseline"))
-    out = C.saturated(parts, dense, sums)
-    return out.select("company", "pillar", r6("mass").alias("mass"), "gate_fired", "n_claims", "anchored", r6("delta").alias("delta"), r6("coverage").alias("coverage"), r6("score").alias("score"))
+    return parts, C.saturated(parts, dense, sums)
+
+
+# Rungs of the ladder: medians of some industries, the industry's own vote, fuzzy peers, the country.
+_MEDIANS = "SELECT sector AS label, 50 + median(workers) / 200 AS industry_median FROM peers WHERE sector IN ('BUILDING', 'HOUSEHOLD') GROUP BY sector"
+_BAD = ["f1", "f4", "f7", "f10"]
+_ROUTES = f""", strong AS (SELECT DISTINCT company, pillar, true AS given FROM claims WHERE confidence >= 0.99 AND strength > 0.98),
+fuzzy AS (SELECT company, pillar, percentile FROM pooled WHERE n >= least QUALIFY row_number() OVER (PARTITION BY company, pillar ORDER BY ord) = 1),
+rungs AS (SELECT s.company, p.pillar, CASE WHEN p.pillar <> 'G' THEN industry_median END AS r1, CASE WHEN p.pillar = 'E' THEN i.percentile END AS r2, f.percentile AS r3, b.baseline AS r4 FROM sect s, (VALUES ('E'), ('S'), ('G')) p(pillar)
+  LEFT JOIN ({_MEDIANS}) m ON m.label = s.label LEFT JOIN industry i ON i.sector = s.label LEFT JOIN fuzzy f ON f.company = s.company AND f.pillar = p.pillar LEFT JOIN based b ON b.country = s.country),
+bad_news AS (SELECT company, pillar, coalesce(sum(weight * confidence * -delta) FILTER (factor IN ('f1', 'f4', 'f7', 'f10') AND delta < 0), 0)::DOUBLE AS s FROM parts GROUP BY company, pillar),
+routes AS (SELECT f.*, CASE WHEN given THEN 'rich' ELSE 'thin' END AS route, coalesce(r1, r2, r3, r4) AS prior, CASE WHEN r1 IS NOT NULL THEN 'industry_median' WHEN r2 IS NOT NULL THEN 'exio_structural' WHEN r3 IS NOT NULL THEN 'peer_upright' WHEN r4 IS NOT NULL THEN 'country' END AS rung,
+  CASE WHEN s > 0 THEN -20 * ((exp(1.2 * s / 20) - exp(-1.2 * s / 20)) / (exp(1.2 * s / 20) + exp(-1.2 * s / 20))) ELSE 0 END AS overlay FROM full_scores f LEFT JOIN strong USING (company, pillar) LEFT JOIN rungs USING (company, pillar) LEFT JOIN bad_news USING (company, pillar)),
+scored2 AS (SELECT *, greatest(0, least(100, CASE WHEN route = 'rich' THEN score WHEN prior IS NULL THEN 50 ELSE greatest(0, least(100, 50 + 15 * (prior - 50) / 50)) END + overlay)) AS formula FROM routes),
+voted AS (SELECT s.*, CASE WHEN route = 'rich' THEN holistic END AS h, (CASE WHEN pillar = 'S' THEN 0.1::DOUBLE ELSE 0.7::DOUBLE END) * least(1, 0.4::DOUBLE + 0.04::DOUBLE * mass) AS a, (CASE WHEN pillar = 'S' THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END) * 0.5 AS b FROM scored2 s LEFT JOIN (SELECT company, holistic FROM predictions) USING (company)),
+met2 AS (SELECT *, CASE WHEN h IS NULL THEN formula ELSE greatest(0, least(100, (a * formula + b * h) / (a + b))) END AS final, abs(formula - h) AS spread FROM voted),
+wide2 AS (SELECT *, CASE WHEN spread IS NULL THEN 5.0::DOUBLE ELSE greatest(1, least(5, spread / 2 + 1)) END AS half, CASE WHEN spread IS NULL OR spread > 25 THEN 'low' WHEN spread <= 10 THEN 'high' ELSE 'medium' END AS label FROM met2)"""
+
+
+@query("c09_routed_scores", _FULL + _ROUTES + """ SELECT company, pillar, route, CASE WHEN route = 'thin' THEN rung END AS rung, round(overlay, 6) AS overlay, round(formula, 6) AS formula, round(final, 6) AS score, label, CASE WHEN label = 'low' OR fired OR n = 0 THEN 'range' ELSE 'point' END AS mode FROM wide2""")
+def _(t):
+    parts, full = full_scores(t)
+    own = t.spark.sql(_SECTORS).select("company", "country", "label", F.explode(F.array(*map(F.lit, "ESG"))).alias("pillar"))
+    fuzzy = _votes(t, ["fuzzy_country", "fuzzy_global"]).select("company", "pillar", F.col("percentile").alias("peer_upright"))
+    rungs = own.join(t.spark.sql(_MEDIANS), "label", "left").join(t.spark.sql(_INDUSTRY).withColumnsRenamed({"sector": "label", "percentile": "exio_structural"}), "label", "left").join(fuzzy, ["company", "pillar"], "left")
+    rungs = rungs.join(t.spark.sql(_BASE).withColumnRenamed("baseline", "__base"), "country", "left").drop("country").withColumnRenamed("__base", "country")
+    routes = routing.routed(full, t.claims.where("confidence >= 0.99 and strength > 0.98"), rungs, routing.severities(parts, _BAD))
+    votes = routes.withColumnRenamed("score", "formula").join(t.predictions.select("company", "holistic"), "company", "left")
+    out = C.gated(C.reconciled(votes.withColumn("holistic", routing.second_opinion(F.col("route"), F.col("holistic")))))
+    return out.select("company", "pillar", "route", "rung", r6("overlay").alias("overlay"), r6("formula").alias("formula"), r6("score").alias("score"), "label", "mode")

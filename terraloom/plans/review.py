@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import claims as C
-from ..operators import verification
+from ..operators import routing, verification
 from .base import query
 from .scores import _RANK, _TRUST, _contributions, _reduced, r6
 
@@ -80,11 +80,25 @@ SELECT company, pillar, CASE WHEN state = 'skipped' THEN 'skipped' WHEN state LI
   array_to_string(CASE WHEN state = 'refuted_again' THEN list_concat(objections1, objections2) WHEN state IN ('skipped', 'open', 'passed') THEN [] ELSE objections1 END, ';') AS objections FROM states"""
 
 
-@query("c11_verification", C11_SQL)
-def _(t):
+def verify(t):
     scores = scored(t)
     methods = _contributions(t).select(*KEYS, "factor", "method")
     panels = verification.panels(t.critic_verdicts, KEYS)
     again = rescored(t, verification.retry_requests(scores, panels, methods, KEYS))
-    out = verification.verified(scores, panels, methods, again, KEYS)
-    return out.select(*KEYS, "verdict", "mode", *(r6(c).alias(c) for c in ("score", "low", "high")), "label", "needs_review", "retried", "critic_calls", F.array_join("objections", ";").alias("objections"))
+    return verification.verified(scores, panels, methods, again, KEYS)
+
+
+@query("c11_verification", C11_SQL)
+def _(t):
+    return verify(t).select(*KEYS, "verdict", "mode", *(r6(c).alias(c) for c in ("score", "low", "high")), "label", "needs_review", "retried", "critic_calls", F.array_join("objections", ";").alias("objections"))
+
+
+_UPLIFT = "SELECT company, pillar, revenue > 5000 AS applied, least(100.0, 60.0 + revenue / 1000) AS corrected, 'listed' AS reasoning FROM companies, (VALUES ('E'), ('G')) p(pillar) WHERE revenue > 3000"
+
+
+@query("c12_uplift_merge", f"""SELECT v.company, v.pillar, CASE WHEN applied THEN concat(verdict, '+uplifted') ELSE verdict END AS verdict, CASE WHEN applied THEN 'point' ELSE mode END AS mode, CASE WHEN applied THEN round(corrected, 6) ELSE score END AS score, CASE WHEN applied THEN round(corrected, 6) ELSE low END AS low, CASE WHEN applied THEN round(corrected, 6) ELSE high END AS high, label,
+  needs_review AND NOT coalesce(applied, false) AS needs_review, coalesce(applied, false) AS uplifted FROM ({C11_SQL}) v LEFT JOIN (SELECT * FROM ({_UPLIFT}) WHERE applied) u ON u.company = v.company AND u.pillar = v.pillar""")
+def _(t):
+    t.companies.createOrReplaceTempView("companies")
+    out = routing.uplifted(verify(t), t.spark.sql(_UPLIFT).withColumn("corrected", F.col("corrected").cast("double")), KEYS)
+    return out.select(*KEYS, "verdict", "mode", *(r6(c).alias(c) for c in ("score", "low", "high")), "label", "needs_review", F.col("reason").startswith("public-company uplift").alias("uplifted"))
