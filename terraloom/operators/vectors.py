@@ -28,11 +28,21 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Centres that are sent along at once; more go in parts, of which each point keeps its nearest.
+MOST_CENTRES = 10_000
+
+
 def nearest(points: DataFrame, key: str, vector: str, centres: DataFrame) -> DataFrame:
-    """centre and distance of each point; centres (centre, c) are few and broadcast."""
-    rows = points.join(F.broadcast(centres)).select(key, vector, "centre", squared_distance(F.col(vector), F.col("c")).alias("distance"))
-    best = F.min_by(F.struct("centre", "distance"), F.struct(F.round("distance", 9), "centre"))
-    return rows.groupBy(key).agg(best.alias("b")).select(key, "b.centre", "b.distance")
+    """centre and distance of each point, the smaller centre of equal ones (to 9 places)."""
+    parts = -(-centres.count() // MOST_CENTRES)
+    best = F.min_by(F.struct("centre", "distance"), F.struct(F.round("distance", 9), "centre")).alias("b")
+    found = None
+    for i in range(max(1, parts)):
+        some = centres if parts <= 1 else centres.where(F.pmod(F.xxhash64("centre"), F.lit(parts)) == i)
+        rows = points.join(F.broadcast(some)).select(key, "centre", squared_distance(F.col(vector), F.col("c")).alias("distance"))
+        rows = rows.groupBy(key).agg(best).select(key, "b.centre", "b.distance")
+        found = rows if found is None else found.unionByName(rows)
+    return found if parts <= 1 else found.groupBy(key).agg(best).select(key, "b.centre", "b.distance")
 
 
 def lloyd_step(points: DataFrame, key: str, vector: str, centres: DataFrame, dim: int) -> DataFrame:
