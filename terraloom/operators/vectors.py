@@ -50,3 +50,17 @@ def lloyd_step(points: DataFrame, key: str, vector: str, centres: DataFrame, dim
     of = points.join(nearest(points, key, vector, centres), key)
     means = of.groupBy("centre").agg(*[F.avg(F.col(vector)[i]).alias(f"m{i}") for i in range(dim)])
     return means.select("centre", F.array(*[F.col(f"m{i}") for i in range(dim)]).alias("c"))
+
+
+def trained_head(points: DataFrame, key: str, vector: str, label: str, held_out: Column, low: float = 0.4, high: float = 0.6) -> DataFrame:
+    """key, held_out, p and answer (yes, no, or abstain between low and high) of a logistic head over vectors.
+
+    It learns from labelled rows that aren't held out; rows without a label are answered, too. Vectors have one length.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = points.select(key, F.coalesce(held_out, F.lit(False)).alias("held_out"), array_to_vector(vector).alias("features"), F.col(label).cast("double").alias("label"))
+    model = LogisticRegression(maxIter=20, regParam=0.01).fit(rows.where("not held_out and label is not null"))
+    p = vector_to_array("probability")[1]
+    return model.transform(rows).select(key, "held_out", p.alias("p"), F.when(p >= high, "yes").when(p <= low, "no").otherwise("abstain").alias("answer"))

@@ -220,8 +220,7 @@ def _(t):
 
 @query("u03_claims_of_both", "SELECT seq, method FROM claims WHERE method = 'extracted' UNION ALL SELECT seq, method FROM claims WHERE method = 'dataset_lookup'")
 def _(t):
-    of = lambda m: t.claims.where(F.col("method") == m).select("seq", "method")
-    return of("extracted").unionAll(of("dataset_lookup"))
+    return t.claims.where(F.col("method").isin("extracted", "dataset_lookup")).select("seq", "method")
 
 
 @query("x50_first_and_rest", "SELECT p_partkey, string_split(p_name, ' ')[1] AS head, array_to_string(string_split(p_name, ' ')[2:], '|') AS rest FROM part")

@@ -101,3 +101,19 @@ def test_chunks_and_json(spark):
     assert rows(chunks.chunked(df, ["d"], "n", "h", "t", 6, 2), "chunk_no") == [(1, 0, "h", "aaaa"), (1, 1, "h", "bbbb"), (1, 2, "i", "dddddd")]
     texts = spark.createDataFrame([('x {"a": "}"} y {"b": {"c": 1}} z',), ("none",), (None,)], "t string")
     assert [r[0] for r in texts.select(chunks.last_json_object("t")).collect()] == ['{"b": {"c": 1}}', None, None]
+
+
+def test_trained_head_on_rows_it_has_not_seen(spark):
+    """The labels of the given vectors don't depend on them, so these are made to: the side of a plane, and some of them missing."""
+    import random
+
+    from terraloom.operators import vectors
+
+    rng = random.Random(3)
+    points = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    truth = {i: v[0] + v[1] - v[2] > 0.5 for i, v in points}
+    df = spark.createDataFrame([(i, v, None if i % 10 == 0 else truth[i]) for i, v in points], "id int, v array<double>, label boolean")
+    rows = vectors.trained_head(df, "id", "v", "label", F.col("id") % 4 == 1).collect()
+    unseen = [r for r in rows if r.held_out and r.answer != "abstain"]
+    assert len(rows) == 400 and sum(r.held_out for r in rows) == 100 and len(unseen) > 80
+    assert sum((r.answer == "yes") == truth[r.id] for r in unseen) >= 0.95 * len(unseen)
