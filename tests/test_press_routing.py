@@ -112,3 +112,21 @@ def test_nearest_centre_with_many_centres(spark, monkeypatch):
     assert {r.id: r.centre for r in vectors.nearest(points, "id", "v", centres).collect()} == want
     monkeypatch.setattr(vectors, "MOST_CENTRES", 3)
     assert {r.id: r.centre for r in vectors.nearest(points, "id", "v", centres).collect()} == want
+
+
+def test_answers_of_models(spark):
+    from terraloom.functions import answers
+
+    rows = ['{"a": 1, "b": 2}', '```json\n{"a": 1, "b": {"c": 2}}\n```', '{"a": 1, "b": 2} and {"a": 3, "b": 4} but {"a": 5}', '{"a": 1} {"a": 1, "b": ', "", None, "none", '[{"a": 1, "b": 2}]']
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = [r[0] for r in df.select(answers.object_with(F.col("t"), ["a", "b"])).collect()]
+    assert got == ['{"a": 1, "b": 2}', '{"a": 1, "b": {"c": 2}}', '{"a": 3, "b": 4}', None, None, None, None, '{"a": 1, "b": 2}']
+    rows = ['{"companies": [" A ", "", "B"]}', '["A", " "]', 'x {"n": 1, "companies": ["C"]} y', '{"companies": "no list"}', '{"other": ["A"]}', "", None, "[broken"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = [r[0] for r in df.select(answers.name_list(F.col("t"))).collect()]
+    assert got[:3] == [["A", "B"], ["A"], ["C"]] and got[4:] == [[], [], [], []]
+    rows = [('{"corrected_score": 70.5, "reasoning": "  big "}', 50.0), ('{"corrected_score": "70"}', 50.0), ('{"corrected_score": 60}', 50.0), ('{"corrected_score": 100.5}', 50.0), ('{"corrected_score": 70}', 80.0), ('{"corrected_score": "much"}', 1.0), (None, 1.0), ("", None)]
+    df = spark.createDataFrame(rows, "t string, o double")
+    got = [tuple(r[0]) for r in df.select(answers.correction(F.col("t"), F.col("o"))).collect()]
+    no = (False, None, None)
+    assert got == [(True, 70.5, "big"), (True, 70.0, "(no reasoning given)"), no, no, no, no, no, no]
