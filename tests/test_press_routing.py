@@ -130,3 +130,22 @@ def test_answers_of_models(spark):
     got = [tuple(r[0]) for r in df.select(answers.correction(F.col("t"), F.col("o"))).collect()]
     no = (False, None, None)
     assert got == [(True, 70.5, "big"), (True, 70.0, "(no reasoning given)"), no, no, no, no, no, no]
+
+
+def test_report_coverage(spark):
+    from terraloom.operators import reports
+
+    terms = reports.ReportTerms({"E": ["carbon", "water"], "S": ["safety"]}, ["effective tax rate"])
+    real = "carbon fell by 12 % and water use was 3.5 million " * 6
+    contents = "\n".join(f"carbon page {i}" for i in range(9))
+    money = "carbon and the Effective Tax Rate " * 10
+    text = "\n\n".join([contents, money, "letter about carbon " * 3, real, "x" * 2500 + " safety"])
+    rows = [(1, text), (2, ""), (3, None), (4, "safety first"), (5, f"{real}<<page>>{contents}<<page>> <<page>>" + "safety " * 60)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    got = {(r.k, r.pillar): r for r in reports.coverage(df, ["k"], "t", terms, page_mark="<<page>>").collect()}
+    e = got[1, "E"]
+    assert e.verdict == "strong" and e.financial_hits == 0 and e.selection == "letter about carbon letter about carbon letter about carbon\n\n" + real.strip()
+    assert got[1, "S"].verdict == "none" and got[1, "S"].selection.endswith("safety")  # the last piece of the long block
+    assert all(got[k, p].verdict == "none" and got[k, p].density == 0 for k in (2, 3, 4) for p in "ES")
+    assert got[5, "E"].selection == real.strip() and got[5, "S"].verdict == "strong"
+    assert reports.coverage(df.limit(0), ["k"], "t", terms).count() == 0
