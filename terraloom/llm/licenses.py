@@ -2,7 +2,7 @@
 
 Only DataFrame functions are used. A block is a line, or a window of as many consecutive words as the template has,
 whatever line breaks it holds. Its containment in a template is the share of the
-template's distinct words that the block has. Template words are ordered by how often the corpus has them, rarest
+template's distinct words that the block has. Template words are ordered by how many texts of the corpus have them, rarest
 first. A block that reaches the threshold must have one of a template's |T| - need + 1 rarest words (prefix), must
 have `need` template words at all (length), and enough must be left after the first common word (position); blocks
 that pass are verified.
@@ -50,7 +50,6 @@ NOTICES = [
 THRESHOLD = 0.8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LINE = r"[\r\n]+"
 _ANY = r"(?<= )(?:" + "|".join(PHRASES) + r")(?= )"
@@ -69,16 +68,15 @@ def _before(prefix: Column) -> Column:
     return (F.length(prefix) - F.length(F.replace(prefix, F.lit(" "), F.lit(""))) - 1).cast("long")
 
 
-def base_scan(text: Column) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and base (array of labels) of a text; null is empty."""
-    text = F.coalesce(text, F.lit(""))
-    maybe = F.contains(F.lower(text), F.lit("license"))
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(_folded(text), GAP, " ")), F.lit(" "))
+def base_scan(words: Column) -> dict[str, Column]:
+    """n_words, n_base, first_word, last_word and base (array of labels) of a text's words; the phrases share the word license."""
+    maybe = F.array_contains(words, "license")
+    spaced = F.when(maybe, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
     found = maybe & F.regexp_like(spaced, F.lit(_ANY))
     last = F.regexp_extract(spaced, r"(?s)^(.* )(?:" + "|".join(PHRASES) + r")(?= )", 1)
     labels = F.array(*[F.when(F.contains(spaced, F.lit(f" {p} ")), F.lit(label)) for p, label in PHRASES.items()])
     return {
-        "n_words": F.regexp_count(text, F.lit(WORD)).cast("long"),
+        "n_words": F.size(words).cast("long"),
         "n_base": F.when(maybe, F.regexp_count(spaced, F.lit(_ANY))).otherwise(0).cast("long"),
         "first_word": F.when(found, _before(F.split(spaced, _ANY, 2)[0])),
         "last_word": F.when(found, _before(last)),
@@ -92,25 +90,27 @@ def template_sets(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]
     return [(label, sorted({w for w in re.split(GAP, text.lower()) if w})) for label, text in templates]
 
 
-def template_prefixes(docs: DataFrame, templates: list[tuple[str, str]], threshold: float = THRESHOLD, text_col: str = "text") -> tuple[dict[str, int], list[list[str]]]:
-    """The places of all template words by how often the corpus has them (rarest first), and each template's prefix.
-
-    A block that reaches the threshold has one of the |T| - need + 1 rarest words of the template.
-    """
-    sets = template_sets(templates)
-    vocabulary = sorted({w for _, words in sets for w in words})
+def word_places(has: DataFrame, templates: list[tuple[str, str]]) -> dict[str, int]:
+    """The places of all template words by how many texts have them, rarest first, then by name; `has` are arrays of a text's distinct ones."""
+    vocabulary = sorted({w for _, words in template_sets(templates) for w in words})
     if not vocabulary:
         raise ValueError("no template words")
-    counted = docs.select(F.explode(F.filter(_words(F.col(text_col)), lambda w: w.isin(vocabulary))).alias("word")).groupBy("word").count()
+    counted = has.select(F.explode("has").alias("word")).groupBy("word").count()
     often = {r["word"]: r["count"] for r in counted.collect()}  # a row per template word at most
-    place = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
-    return place, [sorted(words, key=place.__getitem__)[: len(words) - math.ceil(threshold * len(words) - 1e-9) + 1] for _, words in sets]
+    return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
+
+
+def template_words(words: Column, templates: list[tuple[str, str]]) -> Column:
+    """The distinct template words of a text."""
+    vocabulary = sorted({w for _, own in template_sets(templates) for w in own})
+    return F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
 
 
-def may_match(prefixes: list[list[str]], text: Column) -> Column:
-    """Whether a text has a word of any prefix somewhere, in a longer word perhaps; others hold no match."""
-    lower = F.lower(text)
-    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in sorted({w for p in prefixes for w in p}, key=len, reverse=True)]), F.lit(False))
+def may_match(has: Column, templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> Column:
+    """Whether a text has enough distinct words of any template, wherever they stand; others hold no match."""
+    sets = [(words, math.ceil(threshold * len(words) - 1e-9)) for _, words in template_sets(templates)]
+    enough = reduce(lambda a, b: a | b, [F.size(F.array_intersect(has, F.array(*map(F.lit, words)))) >= need for words, need in sets])
+    return F.when(F.size(has) >= min(need for _, need in sets), enough).otherwise(F.lit(False))
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text", place: dict[str, int] | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     their words' order (place; counted over docs if not given) and their index are sent along with the plan.
     """
     sets = template_sets(templates)
-    place = place or template_prefixes(docs, templates, threshold, text_col)[0]
+    place = place or word_places(docs.select(template_words(_words(F.col(text_col)), templates).alias("has")), templates)
     vocabulary = sorted({w for _, words in sets for w in words})
     need = [math.ceil(threshold * len(words) - 1e-9) for _, words in sets]
     known = lambda words: F.filter(words, lambda w: w.isin(vocabulary))
@@ -184,17 +184,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels are the base labels and those of matched templates, by lines, and of templates and notices by windows.
     score is 1 where a base phrase stands, else the best containment of a matched template, else 0. Rows without text
     have no words and no labels, and an empty table gives no rows. Rows that agree in id and text share their matches,
-    so repeated rows each get them. Texts without any prefix word of any template are put aside at once; blocks are
-    made of the others, which are written once. Only (id, text hash, label) are shuffled.
+    so repeated rows each get them. Texts are split into words once. What they give is written, with the text itself only
+    where it has enough words of a template; blocks are made of those texts. Only (id, text hash, label) are shuffled.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).cast("string").alias("__text"))
-    place, prefixes = template_prefixes(rows, [*templates, *notices], threshold, "__text")
-    likely = stored(rows.where(may_match(prefixes, F.col("__text"))), "likely")
-    found = template_matches(likely, templates, threshold, "__text", place).drop("line").unionByName(window_matches(likely, [*templates, *notices], threshold, "__text", place).drop("word"))
+    all_ = [*templates, *notices]
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    rows = rows.withColumn("__words", F.array_remove(_words(F.col("__text")), ""))
+    rows = rows.withColumn("has", template_words(F.col("__words"), all_))
+    read = rows.select("__id", "__hash", "has", *[c.alias(n) for n, c in base_scan(F.col("__words")).items()], F.when(may_match(F.col("has"), all_, threshold), F.col("__text")).alias("__text"))
+    read = stored(read, "read")
+    place = word_places(read, all_)
+    likely = read.where("__text is not null").select("__id", "__hash", "__text")
+    found = template_matches(likely, templates, threshold, "__text", place).drop("line").unionByName(window_matches(likely, all_, threshold, "__text", place).drop("word"))
     found = found.groupBy("__id", "__hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     found = found.select(F.col("__id").alias("__id2"), F.col("__hash").alias("__hash2"), "more", "best")
-    base = rows.select("__id", "__hash", *[c.alias(n) for n, c in base_scan(F.col("__text")).items()])
-    out = base.join(found, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
+    out = read.drop("__text", "has").join(found, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__hash") == F.col("__hash2")), "left")
     more = F.coalesce("more", F.array().cast("array<string>"))
     joined = lambda a: F.array_join(F.array_sort(a), ",")
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
