@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -65,3 +65,52 @@ def certainty(country: Column, industry: Column, n_claims: Column, mean_confiden
     label = F.when(sourced, "high").when(strong, "medium").otherwise("low")
     half = F.when(~sourced & (n_claims == 0), 50.0).when(country.isNotNull() & industry.isNotNull(), 5.0).when(sourced & strong, 5.0).when(sourced, 8.0).otherwise(15.0)
     return label, F.greatest(F.lit(0.0), score - half), F.least(F.lit(100.0), score + half)
+
+
+# Most times that few disclosed factors are scaled up, least penalty that counts, points of a badge, the pillar that has badges.
+MOST_RESCALE, LEAST_PENALTY, BADGE_POINTS, BADGE_PILLAR = 4.0, 0.01, 3.0, "G"
+
+
+def blended_baseline(country: Column, industry: Column) -> Column:
+    """The mean of both baselines, or the one there is, or 50."""
+    return F.coalesce((country + industry) / 2, industry, country, F.lit(50.0))
+
+
+def rescaled(score: Column, points: Column, supplied: Column, registered: Column) -> Column:
+    """The score as if all registered factors had been disclosed as the supplied ones were, at most MOST_RESCALE times.
+
+    What is added fades out towards 0 and 100. Without supplied weight, or with all of it, nothing changes.
+    """
+    times = F.least(F.lit(MOST_RESCALE), registered / supplied)
+    extra = points * (times - 1)
+    up, down = F.greatest(100.0 - score, F.lit(1e-6)), F.greatest(score, F.lit(1e-6))
+    moved = F.when(extra > 0, score + (100.0 - score) * F.tanh(extra / up)).when(extra < 0, score - score * F.tanh(-extra / down)).otherwise(score)
+    return F.when((supplied > 0) & (times > 1), moved).otherwise(score)
+
+
+def badge_points(*flags: Column) -> Column:
+    """Points for each badge held, as many off for each that is denied; none for what isn't said."""
+    return sum((F.when(f, BADGE_POINTS).when(~f, -BADGE_POINTS).otherwise(0.0) for f in flags), F.lit(0.0))
+
+
+def assessed(contributions: DataFrame, pillars: DataFrame, badges: Column) -> DataFrame:
+    """pillars (company, pillar, country_baseline, industry_baseline, registered, ...) with score, low, high, label, penalty and n_claims.
+
+    In this order: baseline and points; the industry's half of the baseline; the rescale for factors not disclosed; points off
+    for values far beyond the worst edge (contributions' `beyond`, those of LEAST_PENALTY or less aside); badges, for their
+    pillar. The score stays within 0 and 100 after each. Contributions have company, pillar, weight, confidence, points, beyond.
+    """
+    big = F.when(F.col("beyond") > LEAST_PENALTY, F.col("beyond")).otherwise(0.0)
+    sums = contributions.groupBy("company", "pillar").agg(F.sum("points").alias("__points"), F.sum("weight").alias("__supplied"), F.sum(big).alias("__penalty"), F.count("*").alias("__n"), F.avg("confidence").alias("__sure"))
+    out = pillars.join(sums, ["company", "pillar"], "left").fillna(0.0, ["__points", "__supplied", "__penalty"]).fillna(0, ["__n"])
+    within = lambda c: scoring.clamp(c, 0.0, 100.0)
+    country = F.coalesce("country_baseline", F.lit(50.0))
+    base = blended_baseline(F.col("country_baseline"), F.col("industry_baseline"))
+    out = out.withColumn("score", within(country + F.col("__points")))
+    out = out.withColumn("score", F.when(F.col("industry_baseline").isNotNull(), within(F.col("score") + base - country)).otherwise(F.col("score")))
+    out = out.withColumn("score", rescaled(F.col("score"), F.col("__points"), F.col("__supplied"), F.col("registered")))
+    out = out.withColumn("score", within(F.col("score") - F.col("__penalty")))
+    out = out.withColumn("score", F.when(F.col("pillar") == BADGE_PILLAR, within(F.col("score") + badges)).otherwise(F.col("score")))
+    label, low, high = certainty(F.col("country_baseline"), F.col("industry_baseline"), F.col("__n"), F.col("__sure"), F.col("score"))
+    out = out.withColumn("label", label).withColumn("low", low).withColumn("high", high)
+    return out.withColumn("penalty", F.col("__penalty")).withColumn("n_claims", F.col("__n")).drop("__points", "__supplied", "__penalty", "__n", "__sure")

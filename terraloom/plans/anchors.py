@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..operators import calculators
 from ..operators import claims as C
 from ..operators import peers as P
 from ..operators import routing
@@ -114,3 +115,30 @@ def _(t):
     votes = routes.withColumnRenamed("score", "formula").join(t.predictions.select("company", "holistic"), "company", "left")
     out = C.gated(C.reconciled(votes.withColumn("holistic", routing.second_opinion(F.col("route"), F.col("holistic")))))
     return out.select("company", "pillar", "route", "rung", r6("overlay").alias("overlay"), r6("formula").alias("formula"), r6("score").alias("score"), "label", "mode")
+
+
+# The second calculator: a factor of every fourth has a worst edge of 30, and companies have three badges.
+_BADGES = "SELECT company, CASE WHEN market_id % 3 = 0 THEN NULL ELSE market_id % 3 = 1 END AS bribery, revenue > 0 AS certified, CASE WHEN revenue > 2000 THEN revenue > 6000 END AS whistle FROM companies"
+
+
+@query("c23_assessed_scores", f"""{_SHARES}, sect AS ({_SECTORS}), industry AS ({_INDUSTRY}), based AS ({_BASE}), badges AS ({_BADGES}),
+parts AS (SELECT p.company, p.pillar, p.weight, conf, weight * conf * delta AS points, CASE WHEN CAST(substr(p.factor, 2) AS int) % 4 = 3 AND b.value > 30 THEN log10(b.value / 30) * 4 * conf ELSE 0 END AS beyond FROM placed_claims p JOIN (SELECT company, factor, value FROM best) b USING (company, factor)),
+sums AS (SELECT company, pillar, sum(points) AS points, sum(weight) AS supplied, coalesce(sum(beyond) FILTER (beyond > 0.01), 0) AS penalty, count(*) AS n, avg(conf) AS sure FROM parts GROUP BY company, pillar),
+start AS (SELECT s.company, p.pillar, baseline AS cb, percentile AS ib, coalesce(points, 0) AS points, coalesce(supplied, 0) AS supplied, coalesce(penalty, 0) AS penalty, coalesce(n, 0) AS n, sure, (SELECT sum(weight) FROM factors) AS registered FROM sect s, (VALUES ('E'), ('S'), ('G')) p(pillar) LEFT JOIN based b ON b.country = s.country LEFT JOIN industry i ON i.sector = s.label LEFT JOIN sums x ON x.company = s.company AND x.pillar = p.pillar),
+s1 AS (SELECT *, greatest(0, least(100, coalesce(cb, 50) + points)) AS a FROM start),
+s2 AS (SELECT *, CASE WHEN ib IS NULL THEN a ELSE greatest(0, least(100, a + coalesce((cb + ib) / 2, ib) - coalesce(cb, 50))) END AS b FROM s1),
+s3 AS (SELECT *, CASE WHEN supplied > 0 THEN points * (least(4, registered / supplied) - 1) ELSE 0 END AS extra FROM s2),
+s4 AS (SELECT *, CASE WHEN supplied > 0 AND registered > supplied AND extra > 0 THEN b + (100 - b) * tanh(extra / greatest(100 - b, 0.000001)) WHEN supplied > 0 AND registered > supplied AND extra < 0 THEN b - b * tanh(-extra / greatest(b, 0.000001)) ELSE b END AS c FROM s3),
+s5 AS (SELECT s4.*, greatest(0, least(100, c - penalty)) AS d, CASE WHEN bribery THEN 3 WHEN NOT bribery THEN -3 ELSE 0 END + CASE WHEN certified THEN 3 WHEN NOT certified THEN -3 ELSE 0 END + CASE WHEN whistle THEN 3 WHEN NOT whistle THEN -3 ELSE 0 END AS badge FROM s4 JOIN badges USING (company)),
+s6 AS (SELECT *, CASE WHEN pillar = 'G' THEN greatest(0, least(100, d + badge)) ELSE d END AS score, CASE WHEN cb IS NULL AND ib IS NULL AND n = 0 THEN 50 WHEN cb IS NOT NULL AND ib IS NOT NULL THEN 5 WHEN (cb IS NOT NULL OR ib IS NOT NULL) AND n >= 2 AND sure >= 0.6 THEN 5 WHEN cb IS NOT NULL OR ib IS NOT NULL THEN 8 ELSE 15 END AS half FROM s5)
+SELECT company, pillar, round(score, 6) AS score, round(greatest(0, score - half), 6) AS low, round(least(100, score + half), 6) AS high, CASE WHEN cb IS NOT NULL OR ib IS NOT NULL THEN 'high' WHEN n >= 2 AND sure >= 0.6 THEN 'medium' ELSE 'low' END AS label, round(penalty, 6) AS penalty, n AS n_claims FROM s6""".replace("placed AS (SELECT company, pillar, factor, weight, seq", "placed_claims AS (SELECT company, pillar, factor, weight, seq", 1))
+def _(t):
+    t.peers.createOrReplaceTempView("peers")
+    t.companies.createOrReplaceTempView("companies")
+    lower = F.expr("CAST(substr(factor, 2) AS int) % 4 = 3")
+    parts = _placed(t).withColumn("beyond", F.coalesce(calculators.overflow(F.col("value"), F.lit(30.0), lower, F.col("confidence")), F.lit(0.0)))
+    total = t.factors.agg(F.sum("weight").alias("registered"))  # one row
+    rows = t.spark.sql(_SECTORS).select("company", "country", "label", F.explode(F.array(*map(F.lit, "ESG"))).alias("pillar")).join(t.spark.sql(_BASE).withColumnRenamed("baseline", "country_baseline"), "country", "left")
+    rows = rows.join(t.spark.sql(_INDUSTRY).withColumnsRenamed({"sector": "label", "percentile": "industry_baseline"}), "label", "left").drop("label").join(t.spark.sql(_BADGES), "company").join(F.broadcast(total))
+    out = calculators.assessed(parts, rows, calculators.badge_points(F.col("bribery"), F.col("certified"), F.col("whistle")))
+    return out.select("company", "pillar", *(r6(c).alias(c) for c in ("score", "low", "high")), "label", r6("penalty").alias("penalty"), "n_claims")

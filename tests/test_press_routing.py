@@ -149,3 +149,20 @@ def test_report_coverage(spark):
     assert all(got[k, p].verdict == "none" and got[k, p].density == 0 for k in (2, 3, 4) for p in "ES")
     assert got[5, "E"].selection == real.strip() and got[5, "S"].verdict == "strong"
     assert reports.coverage(df.limit(0), ["k"], "t", terms).count() == 0
+
+
+def test_assessed_scores_step_by_step(spark):
+    from terraloom.operators import calculators
+
+    parts = [("a", "E", 5.0, 0.6, 10.0, 0.0), ("a", "E", 5.0, 0.6, 0.0, 0.005), ("a", "G", 20.0, 0.6, -10.0, 2.0), ("b", "E", 1.0, 0.6, 3.0, 0.0), ("c", "E", 5.0, 0.9, -200.0, 0.0)]
+    parts = spark.createDataFrame(parts, "company string, pillar string, weight double, confidence double, points double, beyond double")
+    rows = [("a", "E", 40.0, 60.0, 20.0, True, None), ("a", "G", None, 80.0, 20.0, True, False), ("b", "E", 50.0, None, 20.0, None, None), ("c", "E", None, None, 20.0, None, None), ("d", "G", None, None, 20.0, True, True), ("e", "S", None, None, 20.0, None, None)]
+    pillars = spark.createDataFrame(rows, "company string, pillar string, country_baseline double, industry_baseline double, registered double, x boolean, y boolean")
+    got = {(r.company, r.pillar): r for r in calculators.assessed(parts, pillars, calculators.badge_points(F.col("x"), F.col("y"))).collect()}
+    a = got["a", "E"]  # 40 + 10, + 10 for the industry's half, then 10 more points fade out over the 40 left
+    assert round(a.score, 9) == round(60 + 40 * math.tanh(10 / 40), 9) and (a.label, a.penalty, a.n_claims) == ("high", 0.0, 2)
+    g = got["a", "G"]  # 50 - 10, + 30 for the industry, all factors supplied, 2 off, badges even out
+    assert round(g.score, 9) == 68.0 and (round(g.low, 9), round(g.high, 9)) == (60.0, 76.0)
+    assert round(got["b", "E"].score, 9) == round(53 + 47 * math.tanh(9 / 47), 9)  # four times at most
+    assert got["c", "E"].score == 0 and got["c", "E"].label == "low"
+    assert got["d", "G"].score == 56 and (got["e", "S"].score, got["e", "S"].low, got["e", "S"].high) == (50.0, 0.0, 100.0)
