@@ -62,8 +62,8 @@ def _(t):
     return out.select("doc_id", "prediction.*")
 
 
-@query("f23_table_of_contents", rf"""SELECT l_orderkey, len(regexp_extract_all(text, '{INDEX_ENTRY}')) >= 3 AS is_index FROM (
-  SELECT l_orderkey, string_agg(concat('Item ', CAST(l_linenumber AS string), '. ', l_returnflag, ' of ', l_linestatus, ' ', CAST(CAST(floor(l_quantity * l_linenumber * 25) AS int) AS string)), ' ' ORDER BY l_linenumber) AS text FROM lineitem GROUP BY l_orderkey)""")
+@query("f23_table_of_contents", rf"""SELECT l_orderkey, len(regexp_extract_all(string_agg(entry, ' ' ORDER BY l_linenumber, entry), '{INDEX_ENTRY}')) >= 3 AS is_index FROM (
+  SELECT l_orderkey, l_linenumber, concat('Item ', CAST(l_linenumber AS string), '. ', l_returnflag, ' of ', l_linestatus, ' ', CAST(CAST(floor(l_quantity * l_linenumber * 25) AS int) AS string)) AS entry FROM lineitem) GROUP BY l_orderkey""")
 def _(t):
     entry = F.concat(F.lit("Item "), F.col("l_linenumber").cast("string"), F.lit(". "), "l_returnflag", F.lit(" of "), "l_linestatus", F.lit(" "), (F.col("l_quantity") * F.col("l_linenumber") * 25).cast("int").cast("string"))
     texts = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", entry.alias("entry")))).alias("entries"))
