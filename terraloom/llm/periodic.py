@@ -16,6 +16,8 @@ from .textkit import NONSPACE, Words, batchwise, mix64, slices
 
 Run = tuple[int, int, int]
 LEAST_POWER, LEAST_WORDS = 4, 6
+#: Words appended at a time: what a level of catchers keeps of them is let go before the next ones come.
+APPENDED = 1 << 20
 
 
 def runs_of_texts(words: Words, power: int = LEAST_POWER, least: int = LEAST_WORDS) -> dict[int, list[Run]]:
@@ -29,7 +31,8 @@ def runs_of_texts(words: Words, power: int = LEAST_POWER, least: int = LEAST_WOR
     stream[place] = words.hash
     first = words.first[:-1] + np.arange(texts)
     catchers = SquareCatchers(power, int(counts.max()) // power)
-    catchers.append(stream)
+    for at in range(0, len(stream), APPENDED):
+        catchers.append(stream[at : at + APPENDED])
     out: dict[int, list[Run]] = {}
     for start, length, period in catchers.finish():
         if length >= least:

@@ -142,6 +142,20 @@ def test_periodic_query_matches_brute_force(spark):
     assert some > 20
 
 
+def test_periodic_runs_of_a_long_text_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from terraloom.llm.textkit import NONSPACE, Words
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab") for _ in range(70)) + " x y z" * 40, "", "end " * 9]
+    words = Words(pa.array(texts), NONSPACE, fold=False)
+    whole = periodic.runs_of_texts(words)
+    assert whole == {i: r for i, t in enumerate(texts) if (r := brute_runs(t.split()))}
+    monkeypatch.setattr(periodic, "APPENDED", 7)
+    assert periodic.runs_of_texts(words) == whole
+
+
 def test_periodic_runs_on_odd_rows(spark, odd):
     found = [tuple(r) for r in periodic.find_runs(odd).collect()]
     assert sorted(found, key=str) == sorted([(None, 0, 40, 1), (5, 0, 3000, 1), (6, 0, 27, 3)], key=str)
