@@ -27,11 +27,15 @@ class ReportTerms:
     financial: list[str]
 
 
-def hits(text: Column, terms: list[str]) -> Column:
-    low = F.lower(text)
+def _counted(low: Column, terms: list[str]) -> Column:
     return sum((occurrences(low, t) for t in terms), F.lit(0))
 
 
+def hits(text: Column, terms: list[str]) -> Column:
+    """Occurrences of all terms, in any case."""
+    return _counted(F.lower(text), terms)
+
+
 def blocks(text: Column, page_mark: str | None = None, size: int = BLOCK) -> Column:
     """Pages, or paragraphs where the mark of a page doesn't occur; those over twice the size are cut into pieces of it. Blank ones go."""
     trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -44,25 +48,26 @@ def blocks(text: Column, page_mark: str | None = None, size: int = BLOCK) -> Col
     return F.filter(cut, lambda b: b.rlike(r"\S"))
 
 
-def block_score(block: Column, terms: list[str], financial: list[str]) -> Column:
-    """Terms, and more with numbers that have units; 0 for contents pages and financial statements."""
-    density = F.regexp_count(block, F.lit(UNIT_NUMBER)) / F.greatest(F.lit(1.0), F.length(block) / 400.0)
-    score = hits(block, terms) * (1.0 + 2.0 * density)
-    return F.when(is_navigation(block) | (hits(block, financial) >= BLOCK_VETO), 0.0).otherwise(score)
+def fit_blocks(parts: Column, financial: list[str]) -> Column:
+    """i, n, b, low and weight of the blocks that may be chosen: contents pages and financial statements aren't. Numbers with units weigh."""
+    weight = lambda b: 1.0 + 2.0 * (F.regexp_count(b, F.lit(UNIT_NUMBER)) / F.greatest(F.lit(1.0), F.length(b) / 400.0))
+    all_ = F.transform(parts, lambda b, i: F.struct(i.alias("i"), F.length(b).alias("n"), b.alias("b"), F.lower(b).alias("low")))
+    fit = F.filter(all_, lambda x: (_counted(x["low"], financial) < BLOCK_VETO) & ~is_navigation(x["b"]))
+    return F.transform(fit, lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"), x["b"].alias("b"), x["low"].alias("low"), weight(x["b"]).alias("weight")))
 
 
-def selected(parts: Column, terms: list[str], financial: list[str], budget: int = BUDGET) -> Column:
-    """The best blocks that fit the budget, in the report's order, joined by empty lines; a block that doesn't fit is passed over."""
-    scored = F.transform(parts, lambda b, i: F.struct((-F.round(block_score(b, terms, financial), 9)).alias("less"), i.alias("i"), F.length(b).alias("n"), b.alias("b")))
+def selected(fit: Column, terms: list[str], budget: int = BUDGET) -> Column:
+    """The best of fit_blocks that fit the budget, in the report's order, joined by empty lines; a block that doesn't fit is passed over."""
+    scored = F.transform(fit, lambda x: F.struct((-F.round(_counted(x["low"], terms) * x["weight"], 9)).alias("less"), x["i"].alias("i"), x["n"].alias("n"), x["b"].alias("b")))
     ordered = F.array_sort(F.filter(scored, lambda s: s["less"] < 0))
-    none = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
+    none = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i: int, b: string>>").alias("taken"))
 
     def step(acc, s):
         fits = (acc["used"] < ENOUGH * budget) & (acc["used"] + s["n"] <= budget)
-        return F.struct((acc["used"] + F.when(fits, s["n"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(acc["taken"], s["i"])).otherwise(acc["taken"]).alias("taken"))
+        return F.struct((acc["used"] + F.when(fits, s["n"]).otherwise(0)).alias("used"), F.when(fits, F.array_append(acc["taken"], F.struct(s["i"].alias("i"), s["b"].alias("b")))).otherwise(acc["taken"]).alias("taken"))
 
     taken = F.array_sort(F.aggregate(ordered, none, step)["taken"])
-    return F.substring(F.array_join(F.transform(taken, lambda i: F.get(parts, i)), "\n\n"), 1, budget)
+    return F.substring(F.array_join(F.transform(taken, lambda x: x["b"]), "\n\n"), 1, budget)
 
 
 def coverage(reports: DataFrame, keys: list[str], text: str, terms: ReportTerms, page_mark: str | None = None) -> DataFrame:
@@ -71,8 +76,8 @@ def coverage(reports: DataFrame, keys: list[str], text: str, terms: ReportTerms,
     A selection of LEAST_SELECTION letters or less, or with too few terms, is none; a dense one without financial markers is
     strong. Null and empty reports are none.
     """
-    rows = reports.select(*keys, blocks(F.coalesce(F.col(text), F.lit("")), page_mark).alias("__blocks"))
-    each = [F.struct(F.lit(p).alias("pillar"), selected(F.col("__blocks"), own, terms.financial).alias("selection")) for p, own in terms.pillars.items()]
+    rows = reports.select(*keys, fit_blocks(blocks(F.coalesce(F.col(text), F.lit("")), page_mark), terms.financial).alias("__fit"))
+    each = [F.struct(F.lit(p).alias("pillar"), selected(F.col("__fit"), own).alias("selection")) for p, own in terms.pillars.items()]
     rows = rows.select(*keys, F.inline(F.array(*each)))
     found = None
     for p, own in terms.pillars.items():
