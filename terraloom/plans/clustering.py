@@ -60,9 +60,8 @@ def corpus(t):
 
 def _fit(t):
     texts = corpus(t)
-    counts = checkpointed(K.term_counts(texts, STOP))
-    terms = checkpointed(K.vocabulary(texts, counts))
-    points = checkpointed(K.unit_vectors(counts, terms))
+    terms = checkpointed(K.text_vocabulary(texts, STOP))
+    points = checkpointed(K.text_vectors(texts, terms, STOP))
     seeds = t.benchmark.where(F.col("item_id") < 3 * CENTRES).select(_class("item_id").alias("group"), F.expr("item_id div 3").alias("key"), "text")
     keys = texts.select("group", "key")
     of, index = K.seeded_clusters(points, keys, K.centre_index(seeds, terms, CENTRES, STOP), CENTRES, ROUNDS)
@@ -72,8 +71,9 @@ def _fit(t):
 @query("l01_ngram_weights", _POINTS + """ SELECT grp AS "group", key, term, round(w, 6) AS w FROM points_corpus""")
 def _(t):
     texts = corpus(t)
-    counts = K.term_counts(texts, STOP)
-    return K.unit_vectors(counts, K.vocabulary(texts, counts)).select("group", "key", "term", r6("w").alias("w"))
+    terms = checkpointed(K.text_vocabulary(texts, STOP))
+    vectors = K.unpacked(K.text_vectors(texts, terms, STOP))
+    return vectors.join(F.broadcast(terms.select("group", "id", "term")), ["group", "id"]).select("group", "key", "term", r6("w").alias("w"))
 
 
 @query("l02_seeded_clusters", _FITTED + f""" SELECT grp AS "group", key, cluster FROM {_LAST}""")
@@ -127,7 +127,7 @@ def like(t):
     cited = t.signals.groupBy("company", "source_tag").agg(F.min_by("text", "seq").alias("text"))
     key = F.concat_ws("/", "company", "source_tag")
     said = t.claims.select("company", "source_tag", F.col("pillar").alias("group")).distinct().join(cited, ["company", "source_tag"]).select("group", key.alias("key"), "text")
-    found = K.similarities(K.unit_vectors(K.term_counts(said, STOP), terms), said, index, CENTRES).join(said, ["group", "key"])
+    found = K.similarities(K.text_vectors(said, terms, STOP), said, index, CENTRES).join(said, ["group", "key"])
     raw = F.when(F.col("item_id") != 5, (F.length("text") % 11) / 10)
     labels = t.benchmark.where(F.col("item_id") < 3 * CENTRES).select(_class("item_id").alias("group"), F.expr("CAST(item_id div 3 AS int)").alias("cluster"), K.snapped(raw).alias("severity"))
     found = found.withColumn("similarity", F.round("similarity", 9)).join(labels, ["group", "cluster"], "left").withColumnRenamed("group", "pillar")

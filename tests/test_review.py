@@ -337,3 +337,22 @@ def test_peer_votes_on_edge_rows(spark):
     assert got["second", "S"] == ("sector_country", pytest.approx(100 * 4 / 7), 6)  # 2.5 among the same
     assert got["far", "E"] == ("abstain", None, 0) and got["far", "S"] == ("fuzzy_global", 50.0, 9) and got["far", "G"] == ("fuzzy_global", 40.0, 9)
     assert all(got["bare", p] == ("abstain", None, 0) for p in "ESG") and len(got) == 12
+
+
+def test_vocabulary_without_a_row_a_text_and_term(spark):
+    """Pairs are counted only behind chosen words; that leaves the same terms, ties and small texts included."""
+    rng = random.Random(8)
+    words = ["spill", "Fine", "river", "the", "wind", "grid", "vote", "ab", "a", "über"]
+    texts = [(rng.choice("gh"), i, " ".join(rng.choice(words[: 3 + i % 8]) for _ in range(i % 9))) for i in range(60)] + [("g", 90, None), ("h", 91, ""), ("i", 92, "spill alone"), (None, 93, "spill spill"), (None, 94, "spill")]
+    df = spark.createDataFrame(texts, "group string, key int, text string")
+    counts = clusters.term_counts(df, ["the"])
+    plain = lambda frame, *c: sorted((tuple(r[x] if not isinstance(r[x], float) else round(r[x], 9) for x in c) for r in frame.collect()), key=str)
+    for least, most in ((2, 5000), (2, 7), (1, 3), (3, 1)):
+        want = clusters.vocabulary(df, counts, least, most)
+        terms = clusters.text_vocabulary(df, ["the"], least, most)
+        assert plain(terms, "group", "term", "id", "idf") == plain(want, "group", "term", "id", "idf")
+        vectors = clusters.text_vectors(df.where("group is not null"), terms, ["the"])
+        assert plain(clusters.unpacked(vectors), "group", "key", "id", "w") == plain(clusters.unit_vectors(counts, want), "group", "key", "id", "w")
+        assert vectors.count() == 63 and "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+    assert clusters.text_vocabulary(df.limit(0), ["the"]).count() == 0
+    assert clusters.text_vectors(df, terms.limit(0), ["the"]).where("size(ids) > 0").count() == 0
