@@ -237,13 +237,13 @@ def _(t):
     return ranking.first_per_key(t.metric_values, ["company", "metric"], F.desc_nulls_last("reporting_year"), F.col("seq")).select("company", "metric", "reporting_year", "numeric_value")
 
 
-_TIERED = "SELECT company, metric, seq, source, numeric_value FROM metric_values WHERE (source IS NULL OR source <> 'wikirate') AND numeric_value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company, metric ORDER BY CASE WHEN source = 'agentic_correction' THEN 2 WHEN source = 'agentic_estimate' THEN 0 ELSE 1 END DESC, coalesce(reporting_year, 0) DESC, CASE source WHEN 'report' THEN 3 ELSE 0 END DESC, seq) = 1"
+_TIERED = "SELECT company, metric, seq, source, numeric_value FROM metric_values WHERE (source IS NULL OR source <> 'wikirate') AND numeric_value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company, metric ORDER BY CASE WHEN source = 'agentic_correction' THEN 2 WHEN source = 'agentic_estimate' THEN 0 ELSE 1 END DESC, coalesce(reporting_year, 0) DESC, CASE source WHEN 'report' THEN 3 ELSE 0 END DESC, seq, numeric_value) = 1"
 
 
 def _tiered(t):
     rows = t.metric_values.where("(source is null or source <> 'wikirate') and numeric_value is not null")
     tier = F.when(F.col("source") == "agentic_correction", 2).when(F.col("source") == "agentic_estimate", 0).otherwise(1)
-    return ranking.first_per_key(rows, ["company", "metric"], tier.desc(), F.coalesce("reporting_year", F.lit(0)).desc(), F.when(F.col("source") == "report", 3).otherwise(0).desc(), F.col("seq"))
+    return ranking.first_per_key(rows, ["company", "metric"], tier.desc(), F.coalesce("reporting_year", F.lit(0)).desc(), F.when(F.col("source") == "report", 3).otherwise(0).desc(), F.col("seq"), F.col("numeric_value"))
 
 
 @query("d09_provenance_tiers", _TIERED)
