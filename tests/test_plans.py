@@ -60,3 +60,11 @@ def test_tiers_of_lines_with_one_number(spark, tmp_path):
     lines = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, d string").selectExpr("* except (d)", "CAST(d AS date) AS l_shipdate")
     got, want = _both(spark, tmp_path, "d09_provenance_tiers", lineitem=lines)
     assert got == want and [r[2] for r in got] == ["3.0", "3.0"]
+
+
+def test_spans_at_half_seconds(spark, tmp_path):
+    """Halves go to the even second on both sides."""
+    stamps = [f"2024-01-0{d} 00:00:0{s}.{f}" for d in (1, 5) for s in (0, 1, 2, 3) for f in ("500000", "499999", "500001")]
+    events = spark.createDataFrame([(i, i, s) for i, s in enumerate(stamps)], "event_id long, user_id long, s string").selectExpr("event_id", "user_id", "CAST(s AS timestamp_ntz) AS ts")
+    got, want = _both(spark, tmp_path, "w09_interval_merge", events=events)
+    assert got == want and len(got) == len(stamps)
