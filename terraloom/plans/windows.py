@@ -12,11 +12,13 @@ from .base import query
 _TERMS = r"""terms AS (SELECT CASE CAST(item_id % 3 AS int) WHEN 0 THEN 'E' WHEN 1 THEN 'S' ELSE 'G' END AS pillar, CASE WHEN item_id % 5 = 4 THEN NULL ELSE concat('f', CAST(item_id % 29 AS string)) END AS factor, term FROM (
   SELECT item_id, unnest(list_append(regexp_extract_all(lower(text), '[a-zà-ÿ]{8,}'), regexp_extract(lower(text), '^[a-zà-ÿ]+ [a-zà-ÿ]+'))) AS term FROM benchmark) WHERE term <> '')"""
 _GROUPS = "groups AS (SELECT DISTINCT pillar, coalesce(factor, pillar) AS factor, term, CASE pillar WHEN 'E' THEN 0 WHEN 'S' THEN 1 ELSE 2 END AS p, factor IS NULL AS own FROM terms)"
+# A term doesn't overlap itself: of a run of one word said over and over, every other pair of neighbours counts.
 _WINDOWS = rf"""WITH {_TERMS}, {_GROUPS},
 pieces AS (SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS piece FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS parts FROM documents WHERE length(text) >= 400)),
 placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS pos, lead(piece, 1) OVER w AS gap, lead(piece, 2) OVER w AS next FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-said AS (SELECT doc_id, pos, piece AS said FROM placed UNION ALL SELECT doc_id, pos, concat(piece, ' ', next) FROM placed WHERE gap = ' '),
-hits AS (SELECT doc_id, p, own, factor, pillar, pos, said, length(said) AS n FROM said JOIN groups ON lower(said) = term),
+said AS (SELECT doc_id, i, pos, piece AS said, false AS pair FROM placed UNION ALL SELECT doc_id, i, pos, concat(piece, ' ', next), true FROM placed WHERE gap = ' '),
+met AS (SELECT doc_id, p, own, factor, pillar, i, pos, said, pair, term, i - 2 * row_number() OVER (PARTITION BY doc_id, p, own, factor, term ORDER BY i) AS run FROM said JOIN groups ON lower(said) = term),
+hits AS (SELECT doc_id, p, own, factor, pillar, pos, said, length(said) AS n FROM met QUALIFY NOT pair OR row_number() OVER (PARTITION BY doc_id, p, own, factor, term, run ORDER BY i) % 2 = 1),
 spans AS (SELECT h.*, greatest(0, pos - 300) AS lo, least(length(text), pos + n + 300) AS hi, text FROM hits h JOIN documents USING (doc_id)),
 marked AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY doc_id, p, own, factor ORDER BY pos, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM spans),
 islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, p, own, factor ORDER BY pos, n ROWS UNBOUNDED PRECEDING) AS island FROM marked),

@@ -68,3 +68,14 @@ def test_spans_at_half_seconds(spark, tmp_path):
     events = spark.createDataFrame([(i, i, s) for i, s in enumerate(stamps)], "event_id long, user_id long, s string").selectExpr("event_id", "user_id", "CAST(s AS timestamp_ntz) AS ts")
     got, want = _both(spark, tmp_path, "w09_interval_merge", events=events)
     assert got == want and len(got) == len(stamps)
+
+
+def test_windows_of_a_word_said_over_and_over(spark, tmp_path):
+    """A term of twice one word doesn't overlap itself: three words are one hit, four are two."""
+    terms = spark.createDataFrame([(i, "the the") for i in range(4)], "item_id long, text string")
+    pad = "pad " * 120
+    texts = [f"{pad}{' '.join([w] * n)} {pad}" for n in range(1, 7) for w in ("the", "The")] + [f"{pad}the the, the the the {pad}the the  the the {pad}", None, "the the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("l07_candidate_windows", "l06_gated_prediction"):
+        got, want = _both(spark, tmp_path / name, name, benchmark=terms, documents=docs)
+        assert got == want and got
