@@ -117,3 +117,18 @@ def test_trained_head_on_rows_it_has_not_seen(spark):
     unseen = [r for r in rows if r.held_out and r.answer != "abstain"]
     assert len(rows) == 400 and sum(r.held_out for r in rows) == 100 and len(unseen) > 80
     assert sum((r.answer == "yes") == truth[r.id] for r in unseen) >= 0.95 * len(unseen)
+
+
+def test_chunks_of_rows_that_have_their_blocks(spark):
+    """Texts aren't shuffled, and give what their blocks give."""
+    rows = [(1, [("h", "aaaa"), ("h", "bbbb"), ("i", "c"), ("i", "dddddd")]), (2, []), (3, None), (4, [(None, "xx"), (None, ""), ("h", "é" * 9)])]
+    df = spark.createDataFrame(rows, "d int, b array<struct<heading: string, text: string>>")
+    out = chunks.chunked_blocks(df, ["d"], "b", 6, 2)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    blocks = df.select("d", F.posexplode("b").alias("n", "x")).select("d", "n", F.col("x.heading").alias("h"), F.col("x.text").alias("t"))
+    want = [(1, 0, "h", "aaaa"), (1, 1, "h", "bbbb"), (1, 2, "i", "dddddd"), (4, 0, None, "xx\n"), (4, 1, "h", "é" * 9)]
+    assert rows_of(out) == want == rows_of(chunks.chunked(blocks, ["d"], "n", "h", "t", 6, 2))
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
