@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def term_weights(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """key, term, w: unit TF-IDF weights with smoothed idf ln((1+n)/(1+df))+1."""
-    terms = docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+def term_weights(docs: DataFrame, key: str, tokens: Column, times: Column | None = None) -> DataFrame:
+    """key, term, w: unit TF-IDF weights with smoothed idf ln((1+n)/(1+df))+1; a document stands for `times` equal ones."""
+    docs = docs.select(key, tokens.alias("tokens"), (F.lit(1) if times is None else times).alias("times"))
+    terms = docs.select(key, "times", F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("times").alias("times"))
+    n = docs.agg(F.sum("times").alias("n"))  # one row
+    df = terms.groupBy("term").agg(F.sum("times").alias("df"))
     raw = terms.join(df, "term").join(F.broadcast(n)).withColumn("raw", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))

@@ -132,3 +132,14 @@ def test_chunks_of_rows_that_have_their_blocks(spark):
 
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_term_weights_of_equal_documents(spark):
+    """A document that stands for equal ones has the weight that each of them has."""
+    from terraloom.operators import vectors
+
+    df = spark.createDataFrame([(1, "red bolt red"), (2, "red bolt red"), (3, "old bolt"), (4, "red bolt red")], "k int, t string")
+    once = spark.createDataFrame([(1, "red bolt red", 3), (3, "old bolt", 1)], "k int, t string, n long")
+    tokens = F.split("t", " ")
+    own = lambda w: rows(w.where("k in (1, 3)").select("k", "term", F.round("w", 12)), "k", "term")
+    assert own(vectors.term_weights(df, "k", tokens)) == own(vectors.term_weights(once, "k", tokens, F.col("n")))
