@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import claims as C
 from ..operators import routing, verification
+from ..session import checkpointed
 from .base import query
 from .scores import _RANK, _TRUST, _contributions, _reduced, r6
 
 KEYS = ["company", "pillar"]
 
 
-def scored(t, claims: DataFrame | None = None) -> DataFrame:
+def scored(t, contributions: DataFrame) -> DataFrame:
     """Gated scores of the formula and of the company's second opinion."""
-    formula = _reduced(t, claims).select(*KEYS, F.col("score").alias("formula"), "mass", "gate_fired", "n_claims")
+    formula = _reduced(t, contributions=contributions).select(*KEYS, F.col("score").alias("formula"), "mass", "gate_fired", "n_claims")
     votes = formula.join(t.predictions.select("company", "holistic"), "company", "left")
     return C.gated(C.reconciled(votes)).withColumn("basis", F.lit("evidence"))
 
@@ -23,12 +24,12 @@ def scored(t, claims: DataFrame | None = None) -> DataFrame:
 def rescored(t, requests: DataFrame) -> DataFrame:
     """The requests that could be read again: texts of sources s0 to s2 don't bear the flagged factor out."""
     asked = requests.select(*KEYS, F.col("factor").alias("flag")).where("CAST(substr(company, 2) AS int) % 4 <> 0")
-    claims = t.claims.join(asked, KEYS)
+    claims = checkpointed(t.claims.join(asked, KEYS))
     flagged = F.col("factor") == F.col("flag")
     kept = claims.where(~((F.col("method") == "extracted") & flagged & F.col("source_tag").isin("s0", "s1", "s2")))
     reading = F.concat_ws(":", "source_tag", "value")
     same = verification.same_reading(claims.where(flagged).withColumn("reading", reading), kept.where(flagged).withColumn("reading", reading), KEYS)
-    new = asked.select(*KEYS).join(scored(t, kept.drop("flag")), KEYS, "left").join(same, KEYS, "left")
+    new = asked.select(*KEYS).join(scored(t, _contributions(t, kept.drop("flag"))), KEYS, "left").join(same, KEYS, "left")
     return new.select(*KEYS, "same", F.coalesce("mode", F.lit("range")).alias("mode"), F.coalesce("label", F.lit("low")).alias("label"), F.coalesce("score", F.lit(50.0)).alias("score"), F.coalesce("low", F.lit(45.0)).alias("low"), F.coalesce("high", F.lit(55.0)).alias("high"), F.coalesce("needs_review", F.lit(True)).alias("needs_review"))
 
 
@@ -81,10 +82,12 @@ SELECT company, pillar, CASE WHEN state = 'skipped' THEN 'skipped' WHEN state LI
 
 
 def verify(t):
-    scores = scored(t)
-    methods = _contributions(t).select(*KEYS, "factor", "method")
-    panels = verification.panels(t.critic_verdicts, KEYS)
-    again = rescored(t, verification.retry_requests(scores, panels, methods, KEYS))
+    """Best claims, scores, panels and requests are used several times, so each is made once and written."""
+    contributions = checkpointed(_contributions(t).select(*KEYS, "factor", "method", "weight", "confidence", "delta"))
+    scores = checkpointed(scored(t, contributions))
+    methods = contributions.select(*KEYS, "factor", "method")
+    panels = checkpointed(verification.panels(t.critic_verdicts, KEYS))
+    again = rescored(t, checkpointed(verification.retry_requests(scores, panels, methods, KEYS)))
     return verification.verified(scores, panels, methods, again, KEYS)
 
 

@@ -60,9 +60,9 @@ def _contributions(t, claims=None):
     return best.withColumn("delta", F.when(F.col("seq") % 2 == 0, band).otherwise(F.col("polarity") * F.col("strength")))
 
 
-def _reduced(t, claims=None):
+def _reduced(t, claims=None, contributions=None):
     sums = t.factors.agg(F.sum("weight").alias("weight_sum")).select(F.explode(F.array(*map(F.lit, "ESG"))).alias("pillar"), "weight_sum")
-    return C.pillar_reduction(_contributions(t, claims), sums)
+    return C.pillar_reduction(_contributions(t, claims) if contributions is None else contributions, sums)
 
 
 @query("c02_formula_scores", _SCORED + "SELECT company, pillar, n_claims, gate_fired, round(mass, 6) AS mass, round(delta, 6) AS delta, round(coverage, 6) AS coverage, round(CASE WHEN term <> 0 THEN greatest(0, least(100, 50 + term)) ELSE 50 END, 6) AS score FROM termed")

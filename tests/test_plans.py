@@ -79,3 +79,13 @@ def test_windows_of_a_word_said_over_and_over(spark, tmp_path):
     for name in ("l07_candidate_windows", "l06_gated_prediction"):
         got, want = _both(spark, tmp_path / name, name, benchmark=terms, documents=docs)
         assert got == want and got
+
+
+def test_verification_reads_claims_twice(spark, monkeypatch):
+    """Best claims are chosen once for all that needs them, and once more among the claims that are read again."""
+    from terraloom.plans import review
+
+    chosen, plain = [], review._contributions
+    monkeypatch.setattr(review, "_contributions", lambda t, claims=None: chosen.append(claims) or plain(t, claims))
+    df = plans.QUERIES["c11_verification"](spark, FOLDER)
+    assert len(chosen) == 2 and "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString()
