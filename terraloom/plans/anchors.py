@@ -9,6 +9,7 @@ from ..operators import calculators
 from ..operators import claims as C
 from ..operators import peers as P
 from ..operators import routing
+from ..session import checkpointed
 from .base import query
 from .rules import _SHARES, _placed
 from .scores import _TRUST, r6
@@ -83,6 +84,7 @@ def full_scores(t):
     industry = t.spark.sql(_SECTORS).join(t.spark.sql(_INDUSTRY).withColumnRenamed("sector", "label"), "label")
     industry = industry.select("company", weights, F.lit(scoring.INDUSTRY_VOTE).alias("factor"), F.lit(0.2).alias("confidence"), swing("percentile").alias("delta"), F.lit("exio_structural").alias("method"))
     parts = _placed(t).select("company", "pillar", "factor", "weight", "confidence", "delta", "method").unionByName(anchors).unionByName(industry)
+    parts = checkpointed(parts)  # a row a company and factor, used for scores and for severities
     sums = t.factors.agg(F.sum("weight").alias("weight_sum")).select(F.explode(F.array(*map(F.lit, "ESG"))).alias("pillar"), "weight_sum")
     dense = t.companies.select("company", "country", F.explode(F.array(*map(F.lit, "ESG"))).alias("pillar")).join(t.spark.sql(_BASE), "country", "left").select("company", "pillar", F.coalesce("baseline", F.lit(50.0)).alias("baseline"))
     return parts, C.saturated(parts, dense, sums)

@@ -89,3 +89,13 @@ def test_verification_reads_claims_twice(spark, monkeypatch):
     monkeypatch.setattr(review, "_contributions", lambda t, claims=None: chosen.append(claims) or plain(t, claims))
     df = plans.QUERIES["c11_verification"](spark, FOLDER)
     assert len(chosen) == 2 and "lineitem" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_routed_scores_choose_claims_once(spark, monkeypatch):
+    from terraloom.plans import anchors
+
+    chosen, plain = [], anchors._placed
+    monkeypatch.setattr(anchors, "_placed", lambda t: chosen.append(t) or plain(t))
+    df = plans.QUERIES["c09_routed_scores"](spark, FOLDER)
+    # Claims are read again for the route alone.
+    assert len(chosen) == 1 and df._jdf.queryExecution().optimizedPlan().toString().count("l_suppkey") <= 4
