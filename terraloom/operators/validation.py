@@ -45,6 +45,15 @@ def source_family(tag: Column) -> Column:
     return F.when(tag.startswith("report_pdf"), "report_pdf").otherwise(tag)
 
 
+def joined_where(rows: DataFrame, holds: Column, other: DataFrame, on: list[str]) -> DataFrame:
+    """Rows joined with `other` (unique in `on`) where `holds`; elsewhere, and where it has no match, other's columns are null.
+
+    Only rows for which it holds are shuffled. `rows` is read once for these and once for the rest.
+    """
+    holds = F.coalesce(holds, F.lit(False))
+    return rows.where(holds).join(other, on, "left").unionByName(rows.where(~holds), allowMissingColumns=True)
+
+
 def validate(claims: DataFrame, rules: FactorRules, listed: list[str]) -> DataFrame:
     """Claims that pass, with `flags`: the rules that changed them, in order. Each rule sees what the ones before it left.
 
@@ -75,7 +84,8 @@ def validate(claims: DataFrame, rules: FactorRules, listed: list[str]) -> DataFr
             out = out.withColumn("value", F.when(~F.coalesce(unfit, F.lit(False)), value))
         out = out.withColumn("flags", F.when(F.col("__hit"), F.array_append("flags", F.lit(name))).otherwise(F.col("flags")))
     bad = F.col("factor").isin(rules.corroborated) & (F.col("polarity") == -1)
-    alone = out.where(bad).groupBy("company", "factor").agg((F.count_distinct(source_family(F.coalesce("source_tag", F.lit("")))) == 1).alias("__alone"))
-    out = out.join(alone, ["company", "factor"], "left").withColumn("__hit", F.coalesce(bad & F.col("__alone"), F.lit(False)))
+    family = source_family(F.coalesce("source_tag", F.lit("")))
+    alone = out.where(bad).groupBy("company", "factor").agg((F.min(family) == F.max(family)).alias("__alone"))
+    out = joined_where(out, bad, alone, ["company", "factor"]).withColumn("__hit", F.coalesce("__alone", F.lit(False)))
     out = out.withColumn("confidence", F.when(F.col("__hit"), F.col("confidence") * ONE_SOURCE).otherwise(F.col("confidence")))
     return out.withColumn("flags", F.when(F.col("__hit"), F.array_append("flags", F.lit("corroboration"))).otherwise(F.col("flags"))).drop("__hit", "__alone")

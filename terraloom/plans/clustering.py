@@ -117,18 +117,24 @@ labels AS (SELECT grp, centre, CASE WHEN v <= 0.375 THEN 0.25 WHEN v <= 0.625 TH
 @query("m19_cluster_severity", _LIKE + f""", met AS (SELECT c.seq, c.strength, c.confidence, b.centre, b.s, severity, coalesce(length(trim(text)) >= 30 AND s >= 0.12 AND severity IS NOT NULL, false) AS hit FROM claims c LEFT JOIN best b ON b.grp = c.pillar AND b.key = concat(c.company, '/', c.source_tag) LEFT JOIN labels l ON l.grp = b.grp AND l.centre = b.centre)
 SELECT seq, centre AS cluster, round(s, 6) AS similarity, CASE WHEN hit THEN severity ELSE strength END AS strength, CASE WHEN hit THEN round(confidence * (0.7::DOUBLE + 0.30000000000000004::DOUBLE * least(1.0::DOUBLE, s / 0.45::DOUBLE)), 3) ELSE confidence END AS confidence FROM met""")
 def _(t):
-    out = K.with_severity(t.claims.join(like(t), ["pillar", "company", "source_tag"], "left"), "text", "cluster", "similarity", "severity")
+    out = K.with_severity(t.claims.join(F.broadcast(like(t)), ["pillar", "company", "source_tag"], "left"), None, "cluster", "similarity", "severity")
     return out.select("seq", F.col("cluster").cast("long").alias("cluster"), r6("similarity").alias("similarity"), "strength", "confidence")
 
 
 def like(t):
-    """pillar, company, source_tag, text, cluster, similarity and severity of the texts that claims cite."""
+    """pillar, company, source_tag, cluster, similarity and severity (none of short texts) of the texts that claims cite.
+
+    Signals are of 100 companies and 7 tags, so this has 2,100 short rows at most, and claims meet it where they are.
+    """
     _, terms, _, _, index = _fit(t)
-    cited = t.signals.groupBy("company", "source_tag").agg(F.min_by("text", "seq").alias("text"))
-    key = F.concat_ws("/", "company", "source_tag")
-    said = t.claims.select("company", "source_tag", F.col("pillar").alias("group")).distinct().join(cited, ["company", "source_tag"]).select("group", key.alias("key"), "text")
+    cited = checkpointed(t.signals.groupBy("company", "source_tag").agg(F.min_by("text", "seq").alias("text")))
+    asked = t.claims.select("company", "source_tag", F.col("pillar").alias("group")).join(F.broadcast(cited.select("company", "source_tag")), ["company", "source_tag"], "left_semi")
+    said = checkpointed(asked.distinct().join(cited, ["company", "source_tag"]).select("group", F.concat_ws("/", "company", "source_tag").alias("key"), "text"))
     found = K.similarities(K.text_vectors(said, terms, STOP), said, index, CENTRES).join(said, ["group", "key"])
     raw = F.when(F.col("item_id") != 5, (F.length("text") % 11) / 10)
     labels = t.benchmark.where(F.col("item_id") < 3 * CENTRES).select(_class("item_id").alias("group"), F.expr("CAST(item_id div 3 AS int)").alias("cluster"), K.snapped(raw).alias("severity"))
-    found = found.withColumn("similarity", F.round("similarity", 9)).join(labels, ["group", "cluster"], "left").withColumnRenamed("group", "pillar")
-    return found.withColumn("company", F.split("key", "/")[0]).withColumn("source_tag", F.split("key", "/")[1]).drop("key")
+    found = found.join(labels, ["group", "cluster"], "left").select(
+        F.col("group").alias("pillar"), F.split("key", "/")[0].alias("company"), F.split("key", "/")[1].alias("source_tag"),
+        "cluster", F.round("similarity", 9).alias("similarity"), K.severity_of(F.col("text"), F.col("severity")).alias("severity"),
+    )
+    return checkpointed(found)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters as K
 from ..operators import validation as V
+from ..session import checkpointed
 from .base import query
 from .clustering import _LIKE, like
 from .scores import r6
@@ -43,11 +44,12 @@ def _(t):
     for name, _, terms in term_lists(t):
         lists.setdefault(name, []).extend(terms)
     cited = t.signals.groupBy("company", "source_tag").agg(F.min_by("text", "seq").alias("text"))
-    cited = cited.select("company", "source_tag", F.length("text").alias("text_length"), V.lists_present(F.col("text"), lists).alias("present"))
+    # 700 rows at most, without their texts, so claims stay where they are.
+    cited = checkpointed(cited.select("company", "source_tag", F.length("text").alias("text_length"), V.lists_present(F.col("text"), lists).alias("present")))
     t.claims.createOrReplaceTempView("claims")
     t.companies.createOrReplaceTempView("companies")
     home = t.companies.select("company", "country").join(t.spark.sql(_TOTALS), "country", "left").select("company", "country_total")
-    rows = t.claims.join(cited, ["company", "source_tag"], "left").join(home, "company", "left")
+    rows = V.joined_where(t.claims, F.col("factor").isin(RULES.totalled), home, ["company"]).join(F.broadcast(cited), ["company", "source_tag"], "left")
     kept = V.validate(rows, RULES, list(lists))
-    out = K.with_severity(kept.join(like(t), ["pillar", "company", "source_tag"], "left"), "text", "cluster", "similarity", "severity")
+    out = K.with_severity(kept.join(F.broadcast(like(t)), ["pillar", "company", "source_tag"], "left"), None, "cluster", "similarity", "severity")
     return out.select("seq", "value", "strength", r6("confidence").alias("confidence"), F.array_join("flags", ",").alias("flags"))
