@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.text import is_recent
+from ..session import checkpointed
 from .ranking import first_per_key
 from .registers import containing
 
@@ -50,20 +51,25 @@ class RecordRule:
     polarity: str = "negative"
 
 
-def compiled(rules: list[RecordRule], tables: dict[str, DataFrame]) -> DataFrame:
-    """tag, match, names, body, seq of the records that rules keep: one scan of each table."""
+def compiled(rules: list[RecordRule], tables: dict[str, DataFrame], told_of: bool = True) -> DataFrame:
+    """tag, match, names (some may be null or equal), body, seq of the records that rules keep: one scan of each table.
+
+    Without `told_of`, match and names alone, of records that tell nothing, too. All this is done for every row, so it has
+    no functions over arrays, which Spark doesn't compile.
+    """
     parts = []
     for table in dict.fromkeys(r.table for r in rules):
         rows = []
         for r in (r for r in rules if r.table == table):
-            keep = F.expr(r.where)
-            if r.dated:
-                keep &= is_recent(F.coalesce(F.expr(r.dated).cast("string"), F.lit("")), r.since)
-            told = F.array_join(F.filter(F.array(*(F.btrim(F.expr(c).cast("string")) for c in r.told)), lambda x: x.isNotNull() & (x != "")), JOINER)
-            named = F.array_distinct(F.array_compact(F.array(*(F.expr(c).cast("string") for c in r.names))))
-            rows.append(F.when(keep, F.struct(F.lit(r.tag).alias("tag"), F.lit(r.match).alias("match"), named.alias("names"), told.alias("body"), F.expr(r.order).cast("long").alias("seq"))))
-        found = tables[table].select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
-        parts.append(found.where("body <> ''"))
+            told = F.concat_ws(JOINER, *(F.nullif(F.btrim(F.expr(c).cast("string")), F.lit("")) for c in r.told))
+            named = F.array(*(F.expr(c).cast("string") for c in r.names))
+            more = [F.lit(r.tag).alias("tag"), told.alias("body"), F.expr(r.order).cast("long").alias("seq")] if told_of else []
+            record = F.struct(F.lit(r.match).alias("match"), named.alias("names"), *more)
+            if r.dated:  # inside, as years are then looked for in kept rows only
+                record = F.when(is_recent(F.coalesce(F.expr(r.dated).cast("string"), F.lit("")), r.since), record)
+            rows.append(F.when(F.expr(r.where), record))
+        found = tables[table].select(F.explode(F.array(*rows)).alias("r")).where("r is not null")
+        parts.append(found.select("r.*").where("body <> ''" if told_of else "true"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -72,7 +78,7 @@ def name_matches(records: DataFrame, companies: DataFrame) -> DataFrame:
 
     Equal names are matched once. By words, a company's rarest identifying word finds the names to test.
     """
-    listed = records.select("match", "name").distinct()
+    listed = checkpointed(records.select("match", "name").where("name is not null").distinct())
     asked = companies.where("name is not null").select("company", F.col("name").alias("own"), N.identifying_tokens(F.col("name")).alias("tokens"))
     words = F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != ""))
     index = listed.where("match <> 'substring'").select("match", "name", F.explode(words).alias("word"))
@@ -96,11 +102,15 @@ def record_signals(rules: list[RecordRule], tables: dict[str, DataFrame], compan
     company twice counts once. The text stops at the rule's cap or at MOST_CHARS. Companies without identifying words match
     by no words; null names match nothing.
     """
-    records = compiled(rules, tables).select("tag", "match", "body", "seq", F.explode("names").alias("name"))
-    met = records.join(name_matches(records, companies), ["match", "name"]).select("company", "tag", "seq", "body").distinct()
+    records = compiled(rules, tables).select("tag", "match", "body", "seq", F.explode("names").alias("name")).where("name is not null")
     once = [r.tag for r in rules if r.distinct]
     # What has been said before goes, in sources where that is the rule; elsewhere each record stands for itself.
-    said = met.groupBy("company", "tag", "body", F.when(~F.col("tag").isin(once), F.col("seq")).alias("own")).agg(F.min("seq").alias("seq"))
+    own = F.when(~F.col("tag").isin(once), F.col("seq")).alias("own")
+    # What is said of one name goes before the names meet the companies, the rest after.
+    first = records.groupBy("tag", "match", "name", "body", own).agg(F.min("seq").alias("seq"))
+    named = compiled(rules, tables, told_of=False).select("match", F.explode("names").alias("name"))
+    met = first.join(name_matches(named, companies), ["match", "name"]).select("company", "tag", "seq", "body").distinct()
+    said = met.groupBy("company", "tag", "body", own).agg(F.min("seq").alias("seq"))
     counts = said.groupBy("company", "tag").agg(F.count("*").alias("n_records"))
     caps = F.lit(MOST_CHARS)  # as every record has a letter, no more can be told
     for r in rules:

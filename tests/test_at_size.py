@@ -7,7 +7,7 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from terraloom import plans
-from terraloom.operators import validation
+from terraloom.operators import record_rules, validation
 
 
 def plan_of(df) -> str:
@@ -32,3 +32,15 @@ def test_joined_where_it_holds(spark):
     other = spark.createDataFrame([("a", 7), (None, 9)], "k string, v int")
     got = validation.joined_where(rows, F.col("n") != 2, other, ["k"])
     assert sorted(((r.n, r.k, r.v) for r in got.collect()), key=str) == sorted([(1, "a", 7), (2, "a", None), (3, "b", None), (4, None, None), (None, "a", None)], key=str)
+
+
+def test_records_are_thinned_before_they_meet_companies(spark):
+    """Rows that say the same of one name are one row by then, and years are looked for in kept rows only."""
+    rule = record_rules.RecordRule("f", "t", ("name", "name", "other"), "strict", ("what", "null"), "id", "id < 9", "what", 2000, distinct=True)
+    rows = [(i, "Customer#000000001 Inc", None, "x") for i in range(20)] + [(30, "Customer#000000001 Inc", None, "y"), (-1, None, None, "x"), (-2, "Customer#000000001", None, " ")]
+    tables = {"t": spark.createDataFrame(rows, "id int, name string, other string, what string")}
+    companies = spark.createDataFrame([("a", "Customer#000000001"), ("b", "Customer#000000002")], "company string, name string")
+    out = record_rules.record_signals([rule], tables, companies)
+    assert [tuple(r) for r in out.collect()] == [("a", "f", "negative", 1, "x")]
+    plan = plan_of(out)
+    assert plan.index("HashAggregate(keys=[tag") > 0 and re.search(r"hashpartitioning\(tag#\d+, match#\d+, name#\d+", plan)
