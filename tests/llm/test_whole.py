@@ -64,6 +64,34 @@ def test_encoder_equals_a_fresh_tokenizer():
         assert coder.encode([t])[0].tolist() == fresh.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_gives_the_library_each_word_once(monkeypatch):
+    import itertools
+
+    from tokenizers import Tokenizer
+
+    fresh, coder = Tokenizer.from_file(tokenizer_path()), tokens.Encoder(tokenizer_path())
+    words = ["".join(w) for w in itertools.product("bdé", "aeiou", "klmÑ", "aeiou")]
+    signs = ["", ";", ":", ")", "!", "-1", ".\nAnd", "<|endoftext|>", "'s", " \t ", "\n", "\u3000\x1c "]
+    texts = [" ".join(w + s for w in words) for s in signs] + ["", *signs, *words[:9]]
+    given, encoded = [], coder._encoded
+    monkeypatch.setattr(coder, "_encoded", lambda texts: given.extend(texts) or encoded(texts))
+    coder.encode([t for t, s in zip(texts, signs, strict=False) if s.strip() == s and "<" not in s])
+    assert sum(map(len, given)) < 1.2 * sum(len(w) + 1 for w in words)
+    ids, n = coder.encode(texts, 0)
+    want = [fresh.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == list(itertools.chain(*want))
+
+
+def test_encoder_groups_keep_rows_in_order():
+    import pyarrow as pa
+
+    keys, texts = list(range(3000)), [f"text {i} " * (i % 7) for i in range(3000)]
+    batches = pa.table({"key": keys, "text": texts}).to_batches(max_chunksize=700)
+    groups = list(tokens.in_groups(batches, 20_000))
+    assert len(groups) > 4 and sum((k for k, _ in groups), []) == keys and sum((t.to_pylist() for _, t in groups), []) == texts
+    assert list(tokens.in_groups([])) == []
+
+
 def test_jaccard_at_half_with_sets_of_different_sizes(spark):
     import random
 
