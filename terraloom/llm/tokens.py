@@ -33,7 +33,7 @@ MAGIC = b"TLTOKEN1"
 #: Bytes of text that go to one shard, about.
 SHARD_BYTES = 32 << 20
 #: Bytes of text that a task encodes at once, about: each different piece in them goes through the library once.
-GROUP_BYTES = 40 << 20
+GROUP_BYTES = 12 << 20
 
 _TURN = re.compile(r"(?<=\S)(?= )")
 #: A class of all white space.
