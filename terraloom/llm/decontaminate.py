@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .fmindex import FMIndex
 from .textkit import Words, batchwise, slices
@@ -114,6 +115,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     no hits; null or empty items have no windows; items of one id count once, and a null id reads "null". No items
     give no hits. Other columns are kept; one named `leaks` is replaced.
     """
+    return _found(docs, items, text_col, item_col, item_text, window, pass_bytes)
+
+
+def _found(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, then: Callable | None = None, schema: StructType | None = None) -> DataFrame:
+    """The rows of find_leaks, or of `schema` if `then` turns its batches into such: in the last pass's own workers, as more would each hold memory."""
     known = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), F.col(item_text).cast("string").alias("text")).where("length(text) > 0").distinct()
     n_bytes = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(n_bytes / pass_bytes))
@@ -121,7 +127,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     for block in range(blocks):
         rows = known.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block).collect()
         shipped = docs.sparkSession.sparkContext.broadcast([(r.name, r.text) for r in rows])
-        out = out.mapInArrow(batchwise(_pass(shipped, text_col, window)), out.schema)
+        run = _pass(shipped, text_col, window)
+        if then and block == blocks - 1:
+            out = out.mapInArrow(batchwise(lambda batches, run=run: then(run(batches))), schema)
+        else:
+            out = out.mapInArrow(batchwise(run), out.schema)
     return out
 
 
@@ -164,7 +174,6 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **op
     """
     own = {c: f"__own_{c}" for c in docs.columns if c == "leaks"}  # find_leaks replaces such a column
     schema = docs.schema
-    found = find_leaks(docs.withColumnsRenamed(own), items, text_col=text_col, **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,4 +190,4 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **op
             columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(own.get(f.name, f.name)) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return found.mapInArrow(batchwise(cut), schema)
+    return _found(docs.withColumnsRenamed(own), items, text_col=text_col, then=cut, schema=schema, **options)

@@ -32,8 +32,10 @@ from .textkit import batchwise, groupwise
 MAGIC = b"TLTOKEN1"
 #: Bytes of text that go to one shard, about.
 SHARD_BYTES = 32 << 20
-#: Bytes of text that a task encodes at once, about: each different piece in them goes through the library once.
-GROUP_BYTES = 12 << 20
+#: Bytes of text that a task encodes at once, about.
+GROUP_BYTES = 3 << 20
+#: Bytes of pieces and their ids that a task keeps from one group to the next: a piece that is there isn't encoded again.
+MET_BYTES = 12 << 20
 
 _TURN = re.compile(r"(?<=\S)(?= )")
 #: A class of all white space.
@@ -48,7 +50,7 @@ SPACE = "\u0120"
 
 
 class Encoder:
-    """A byte-level BPE of the tokenizers library that encodes each different piece of many texts once.
+    """A byte-level BPE of the tokenizers library that encodes each different piece of many texts once, as far as it keeps them.
 
     The vocabulary's pattern never joins a non-space with a space after it, nor a letter with a sign or digit of
     ASCII after it, nor looks behind. So a text may be cut before each space that follows a non-space, and a piece
@@ -68,6 +70,10 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.leads = np.zeros(self.size, bool)  # ids that begin with a space
         self.leads[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.met, self.met_ids = pa.array([], pa.string()), _lists(np.zeros(0, self.dtype), np.zeros(0, np.int64))
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
@@ -110,6 +116,18 @@ class Encoder:
         parts = ids.take(pa.array(both.ravel()))
         return pa.ListArray.from_arrays(pa.array(_edges(parts)[::2]), parts.flatten())
 
+    def _once(self, pieces: pa.Array) -> pa.Array:
+        """What _led gives, which is asked only for pieces that aren't kept from texts before."""
+        at = pc.index_in(pieces, self.met)
+        new = pc.is_null(at)
+        fresh = pieces.filter(new)
+        ids = self._led(fresh)
+        out = _in_place(self.met_ids.take(at.drop_null()), ids, new)
+        self.met, self.met_ids = pa.concat_arrays([self.met, fresh]), pa.concat_arrays([self.met_ids, ids])
+        if self.met.nbytes + self.met_ids.nbytes > MET_BYTES:
+            self._forget()
+        return out
+
     def encode(self, texts: list[str] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has; end_id is appended to each."""
         pieces = _pieces(pa.array(texts, pa.string()))
@@ -121,7 +139,7 @@ class Encoder:
         del pieces
         number = np.empty(edge[-1], np.int32)
         number[first], number[~first] = bare.indices.to_numpy(), led.indices.to_numpy() + len(bare.dictionary)
-        found = pa.concat_arrays([self._alone(bare.dictionary), self._led(led.dictionary)]).take(pa.array(number))
+        found = pa.concat_arrays([self._alone(bare.dictionary), self._once(led.dictionary)]).take(pa.array(number))
         ids, total = found.flatten().to_numpy(), _edges(found)[edge].astype(np.int64)
         lengths = np.diff(total)
         if end_id is not None:

@@ -3,7 +3,7 @@
 import math
 import re
 
-from terraloom.llm import langid, licenses, neardup, onebit, pii, tokens
+from terraloom.llm import decontaminate, langid, licenses, neardup, onebit, pii, tokens
 from terraloom.llm.queries import tokenizer_path
 
 MIT = """Copyright (c) 2020 Some One
@@ -92,6 +92,51 @@ def test_encoder_groups_keep_rows_in_order():
     assert list(tokens.in_groups([])) == []
 
 
+def test_encoder_keeps_pieces_between_groups_in_bounded_memory(monkeypatch):
+    import itertools
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    fresh, coder = Tokenizer.from_file(tokenizer_path()), tokens.Encoder(tokenizer_path())
+    text = " ".join("".join(w) + s for w in itertools.product("bdé", "aeiou", "klm", "aeiou") for s in ("", ".", "\n"))
+    want, given, encoded = fresh.encode(text, add_special_tokens=False).ids, [], coder._encoded
+    monkeypatch.setattr(coder, "_encoded", lambda texts: given.extend(texts) or encoded(texts))
+    for most, again in ((tokens.MET_BYTES, False), (100, True)):
+        monkeypatch.setattr(tokens, "MET_BYTES", most)
+        for turn in range(2):
+            given.clear()
+            assert coder.encode([text])[0].tolist() == want
+            assert (sum(map(len, given)) > 100) == (again or not turn) and coder.met.nbytes + coder.met_ids.nbytes <= most
+        coder._forget()
+
+
+def test_encoder_takes_bounded_memory_of_arrow():
+    import subprocess
+    import sys
+
+    script = """if True:
+        import pyarrow as pa
+        from terraloom.llm import tokens
+        from terraloom.llm.queries import tokenizer_path
+
+        texts = [" ".join(f"{(i * 7919 + k) % 9973:x}" for k in range(400)) for i in range(8000)]
+        batches = pa.table({"key": list(range(8000)), "text": texts}).to_batches(max_chunksize=1000)
+        coder, held = tokens.Encoder(tokenizer_path()), pa.total_allocated_bytes()
+        for _, group in tokens.in_groups(batches):
+            coder.encode(group, 0)
+        print(pa.default_memory_pool().max_memory() - held)"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, timeout=120)
+    assert int(out.stdout) < 40 << 20
+
+
+def test_leaks_are_cut_by_the_workers_that_find_them(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id long, text string")
+    cut = decontaminate.remove_leaks(docs, spark.createDataFrame([("x", "b c d e f g h i j k")], "item_id string, text string"))
+    assert str(cut._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+    assert cut.collect() == [(1, "a")]
+
+
 def test_jaccard_at_half_with_sets_of_different_sizes(spark):
     import random
 
