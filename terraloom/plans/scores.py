@@ -258,7 +258,8 @@ def _(t):
     pillar = rows.select("company", "category", F.when(F.col("higher_is_better"), up).otherwise(100 - up).alias("score")).groupBy("company", "category").agg(F.avg("score").alias("score"))
     share = F.when(F.col("category") == "E", 0.4).when(F.col("category") == "S", 0.35).otherwise(0.25)
     out = pillar.groupBy("company").agg(F.sum(share * F.col("score")).alias("raw"), F.count("*").alias("n_pillars"))
-    return out.select("company", r6("raw").alias("total"), "n_pillars", scoring.rating_band(F.col("raw")).alias("band"))
+    # a total that stands on the edge of a band reaches it, in whatever order its parts were added up: the order moves its 14th decimal
+    return out.select("company", r6("raw").alias("total"), "n_pillars", scoring.rating_band(F.round("raw", 12)).alias("band"))
 
 
 @query("c13_ratio_estimates", "WITH r AS (SELECT country, median(workers / nullif(customers, 0)) AS ratio, count(workers / nullif(customers, 0)) AS n FROM peers GROUP BY country) SELECT company, round(CASE WHEN n >= 15 THEN ratio * revenue END, 6) AS estimate, CASE WHEN n >= 30 THEN 0.3::DOUBLE WHEN n >= 15 THEN 0.2::DOUBLE END AS confidence FROM companies LEFT JOIN r USING (country)")

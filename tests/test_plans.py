@@ -62,6 +62,19 @@ def test_tiers_of_lines_with_one_number(spark, tmp_path):
     assert got == want and [r[2] for r in got] == ["3.0", "3.0"]
 
 
+def test_a_total_on_the_edge_of_a_band_reaches_it(spark, tmp_path):
+    """All parts come to 50 exactly (but for the last set, a tenth below): in any order of adding that is the same band."""
+    sets = [(11, 15, 34, 23, 17, 22, 23, 35, 8, 16, 50, 19, 9, 26, 43, 20, 13, 24), (1, 24, 13, 46, 48, 10, 10, 7, 24, 47, 35, 34, 18, 2, 49, 25, 26, 6), (39, 42, 45, 36, 1, 40, 39, 43, 3, 48, 23, 19, 46, 12, 39, 8, 20, 5)]
+    sets += [(11, 38, 11, 17, 36, 16, 24, 23, 35, 5, 13, 2, 1, 21, 15, 22, 15, 5), (36, 30, 10, 18, 15, 31, 40, 6, 19, 7, 12, 27, 7, 18, 33, 12, 3, 44), (46, 14, 3, 1, 45, 29, 5, 37, 15, 34, 23, 4, 41, 50, 27, 42, 8, 1)]
+    sets.append(tuple(q - (m == 0) for m, q in enumerate(sets[0])))
+    lines = [((18 * s + m) * 5 + 2, 1, m, s, float(q), "1997-01-01") for s in range(140) for m, q in enumerate(sets[s % 7])]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, d string").selectExpr("* except (d)", "CAST(d AS date) AS l_shipdate")
+    for name, df in (("lineitem", lines), ("part", spark.range(36).withColumnRenamed("id", "p_partkey"))):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.company: (r.total, r.band) for r in plans.QUERIES["c18_market_report"](spark, str(tmp_path)).collect()}
+    assert got == {f"c{s}": (49.866667, "laggard") if s % 7 == 6 else (50.0, "average") for s in range(140)}
+
+
 def test_spans_at_half_seconds(spark, tmp_path):
     """Halves go to the even second on both sides."""
     stamps = [f"2024-01-0{d} 00:00:0{s}.{f}" for d in (1, 5) for s in (0, 1, 2, 3) for f in ("500000", "499999", "500001")]
